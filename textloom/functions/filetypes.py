@@ -125,7 +125,7 @@ def decode_text(content: Column | str, encoding: Column | str) -> Column:
     """Whole content as text with ``\\n`` line ends; NULL when it is not decodable."""
     content, encoding = _col(content), _col(encoding)
     as_utf8 = F.when(_valid_utf8(content), content.cast("string"))
-    text = (F.when(encoding == "latin-1", F.decode(content, F.lit("ISO-8859-1")))
+    text = (F.when(encoding == "latin-1", F.decode(content, "ISO-8859-1"))
             .when(encoding == "utf-8-sig", F.regexp_replace(as_utf8, "^﻿", ""))
             .otherwise(as_utf8))
     return F.regexp_replace(text, "\r\n?", "\n")

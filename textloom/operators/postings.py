@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.grouping import grouper
 from ..functions.porter import stem_tokens
 from ..functions.text import tokenize
 
@@ -24,46 +26,26 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return tokens.select(F.col(id_col).alias("doc_id"), F.posexplode("tokens").alias("pos", "term"))
 
 
-def _grouped(tokens: Column, sorted_col: Column) -> Column:
-    """Per distinct term of one row: ``term, tf, positions``.
-
-    ``sorted_col`` holds (term, pos) in order, so that the occurrences of a term
-    are a slice of it; groups start where the term differs from the one before.
-    """
-    size = F.size(sorted_col)
-    starts = F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: (i == 0) | (F.get(sorted_col, i)["t"] != F.get(sorted_col, i - 1)["t"]))
-
-    def entry(all_starts: Column):
-        def build(start: Column, at: Column) -> Column:
-            length = F.coalesce(F.get(all_starts, at + 1), size) - start
-            places = F.transform(F.slice(sorted_col, start + 1, length), lambda x: x["p"])
-            return F.struct(F.get(sorted_col, start)["t"].alias("term"),
-                            length.alias("tf"), places.alias("positions"))
-        return build
-
-    return starts, entry
-
-
 def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   stem: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+                   stem: bool = True, keep: tuple[str, ...] = (),
+                   positions: bool = True) -> DataFrame:
     """``term, doc_id, tf, doc_len, positions``: one row per term of a document.
 
-    All tokens of a document are in one row already, so they are sorted and cut
-    into groups inside that row: no shuffle, whatever the term frequencies are.
+    All tokens of a document are in one row already, so they are grouped inside
+    the task that tokenises it: no shuffle, whatever the term frequencies are.
     """
-    rows = with_tokens(docs, text_col, stem, (id_col, *keep)).where(F.size("tokens") > 0)
-    rows = rows.select(
-        F.col(id_col).alias("doc_id"), *keep, F.size("tokens").alias("doc_len"),
-        F.sort_array(F.transform(
-            "tokens", lambda t, i: F.struct(t.alias("t"), i.alias("p")))).alias("ordered"))
-    ordered = F.col("ordered")
-    starts, entry = _grouped(F.col("tokens"), ordered)
-    rows = rows.withColumn("starts", starts)
-    rows = rows.select("doc_id", *keep, "doc_len",
-                       F.explode(F.transform("starts", entry(F.col("starts")))).alias("e"))
-    return rows.select("e.term", "doc_id", "e.tf", "doc_len", "e.positions", *keep)
+    rows = with_tokens(docs.withColumn("_id", F.col(id_col)), text_col, False, ("_id", *keep))
+    rows = rows.withColumnRenamed("_id", "doc_id")
+    schema = StructType([StructField("term", StringType()), StructField("tf", IntegerType()),
+                         StructField("doc_len", IntegerType())])
+    if positions:
+        schema.add("positions", ArrayType(IntegerType()))
+    for field in rows.schema:
+        if field.name != "tokens":
+            schema.add(field.name, field.dataType)
+    grouped = rows.mapInArrow(grouper(stem, positions), schema)
+    places = ("positions",) if positions else ()
+    return grouped.select("term", "doc_id", "tf", "doc_len", *places, *keep)
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +66,8 @@ def term_stats(docs: DataFrame, text_col: str = "text", stem: bool = True) -> Da
     Each document is reduced to its distinct terms first; the aggregation is
     partial before its shuffle, so a frequent term costs one row per task.
     """
-    postings = build_postings(docs.withColumn("_row", F.lit(0)), "_row", text_col, stem)
+    postings = build_postings(docs.withColumn("_row", F.lit(0)), "_row", text_col, stem,
+                              positions=False)
     return postings.groupBy("term").agg(F.count("*").alias("df"),
                                         F.sum("tf").cast("long").alias("cf"))
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +32,6 @@ _BATCH_BYTES = 32 << 20
 _LIST_TASKS = 256
 
 
-@dataclass(frozen=True)
-class _Directories(InputPartition):
-    names: tuple[str, ...]
-
-    def __post_init__(self):
-        super().__init__(self.names)
-
-
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
@@ -54,11 +45,11 @@ class TreeReader(DataSourceReader):
                 continue
             found.append(folder)
         tasks = min(_LIST_TASKS, len(found)) or 1
-        return [_Directories(tuple(found[i::tasks])) for i in range(tasks)]
+        return [InputPartition(tuple(found[i::tasks])) for i in range(tasks)]
 
     def read(self, partition):
         rows = []
-        for folder in partition.names:
+        for folder in partition.value:
             for path, size, mtime in _list_directory(folder):
                 rows.append((path, size, mtime))
                 if len(rows) >= _BATCH_ROWS:
