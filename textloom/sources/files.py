@@ -214,3 +214,19 @@ def read_text(files: DataFrame, check_content: bool = True) -> DataFrame:
         F.when(F.col("status") == "error",
                F.concat(F.lit("Failed to read file: not valid "), "encoding")).alias("error"),
         F.when(F.col("status") == "ok", iso_time("mtime")).alias("last_modified"))
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write ``path, content`` rows as files below a folder all executors share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = os.path.join(root, path.lstrip("/"))
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as handle:
+                    handle.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    os.makedirs(root, exist_ok=True)
+    written = files.select("path", "content").mapInArrow(run, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
