@@ -20,7 +20,7 @@ from textloom.operators.pathsearch import search_by_path
 from textloom.operators.snippets import snippets_for_query, with_batch_snippets
 from textloom.plans.index import Index, apply_changes, build_index, open_index
 from textloom.plans.refresh import refresh
-from textloom.plans.workdir import new_path, ship_package
+from textloom.plans.workdir import materialize, new_path, ship_package
 from textloom.sources.files import filter_files, read_text, write_tree
 from textloom.sources.tables import read_table
 from textloom.streaming.feed import stream_index
@@ -311,7 +311,7 @@ def q_classify_changes(force: bool, spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = read_text(_raw_files(spark, sf_dir)).select("path", "status")
+    status = materialize(read_text(_raw_files(spark, sf_dir)).select("path", "status"), "read")
     return q_classify_changes(False, spark, sf_dir).join(status, "path", "left")
 
 
