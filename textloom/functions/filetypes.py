@@ -113,6 +113,11 @@ def detect_encoding(content: Column | str) -> Column:
     probe = F.substring(content, 1, PROBE_BYTES)
     completed = reduce(lambda a, b: a | b,
                        [_valid_utf8(F.concat(probe, _bytes(t))) for t in _COMPLETIONS])
+    # Half of a surrogate pair is no valid text, yet it is only rejected when complete.
+    before = F.octet_length(probe) - 2
+    half_surrogate = (F.rlike(F.hex(F.substring(probe, -2, 2)), F.lit("^ED[AB]"))
+                      & _valid_utf8(F.substr(probe, F.lit(1), before)))
+    completed = completed | half_surrogate
     # The cut tail counts as one character here, and a line end always as one.
     chars = F.length(F.regexp_replace(probe.cast("string"), "\r\n", "\n")) - 1
     may_be_cut = (F.octet_length(content) > PROBE_BYTES) | (chars >= PROBE_CHARS)
