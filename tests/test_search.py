@@ -4,7 +4,7 @@ import pytest
 
 from textloom.operators import search as se
 from textloom.operators.batch import search_batch
-from textloom.operators.classify import classify_query
+from textloom.operators.classify import classify_queries, classify_query
 from textloom.operators.corpus import DocumentCorpus
 from textloom.operators.snippets import snippets_for_query, with_batch_snippets
 from textloom.plans.index import build_index
@@ -85,17 +85,31 @@ def test_complex_queries_are_refused(corpora):
 
 
 def test_batch_equals_single_queries(spark, corpora):
-    typed = [q for q in QUERIES] + ['"the" OR "of"', '"with" NOT "tion"', "with", "tion"]
+    typed = [*QUERIES, '"the" OR "of"', '"with" NOT "tion"', "with"]
     table = spark.createDataFrame(list(enumerate(typed)) + [(999, None)], "query_id int, query string")
-    for corpus in corpora.values():
-        got = {}
+    for kind, checked in (("documents", typed[:3]), ("index", typed)):
+        corpus, got = corpora[kind], {}
         for r in search_batch(corpus, table, k=4).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], r["score"])
-        for number, query in enumerate(typed):
+        for number, query in enumerate(checked):
             one = [(r["doc_id"], r["score"]) for r in se.search(corpus, query, k=4).collect()]
             assert [got.get(number, {})[i] for i in sorted(got.get(number, {}))] == one, query
 
 
+def test_query_table_equals_single_classification(spark):
+    typed = [*QUERIES, None, "\x1a", "a\x1ab", "\x1c\x1d", "\u3000", "a\u3000b", "a\x0bb", "java + ^go", "a^b",
+             "^ a", "a +", "+ a", "^", '"a""b"', '"a" AND ""', '"" NOT "b"', '"a" NOT ""', '"a"OR"b"',
+             '"a" OR "b" AND "c"', "{a}", "ÀÉ_x", "a\nb\t c\r", '"a\n" \t "b"', "ΣΑΣ", "a\n", "+", "a+b+ c"]
+    table = spark.createDataFrame(list(enumerate(typed)), "id int, query string")
+    rows = {r["id"]: r for r in classify_queries(table).collect()}
+    for number, query in enumerate(typed):
+        one, row = classify_query(query, stem=False), rows[number]
+        assert row["mode"] == one.mode, query
+        for required, units in ((True, one.units), (False, one.excluded)):
+            assert [(tuple(i["terms"]), i["first"]) for i in row["items"] if i["required"] == required] == [
+                (u.terms, u.first) for u in units], query
+
+
 def test_batch_snippets(spark, corpora, documents, fulltext):
     typed = ["tion", "with an", '"of the"', '"tion" NOT "the"', "^the of"]
     table = spark.createDataFrame(list(enumerate(typed)), "query_id int, query string")
@@ -148,8 +162,8 @@ def test_classification(spark):
         '"a" OR "b" AND "c"': ("complex", []), "a\x0bb": ("invalid", []), "java + ^go": ("invalid", []),
     }
     for query, (mode, units) in cases.items():
-        found = classify_query(spark, query, stem=False)
+        found = classify_query(query, stem=False)
         assert (found.mode, [" ".join(u.terms) for u in found.units]) == (mode, units), query
-    assert classify_query(spark, "^python java").units[0].first
-    negated = classify_query(spark, '"a" NOT "b" NOT "c"', stem=False)
+    assert classify_query("^python java").units[0].first
+    negated = classify_query('"a" NOT "b" NOT "c"', stem=False)
     assert [u.terms for u in negated.excluded] == [("b",), ("c",)]

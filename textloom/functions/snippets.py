@@ -8,7 +8,7 @@ possible, then as many hits, preferably from the start of a sentence.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .porter import stem_word
-from .text import _FOLDS, is_dropped_mark
+from .text import TOKEN_RE, fold_str
 
 # Marks, window width and the weights of a window.
 OPEN, CLOSE, ELLIPSIS = "<mark>", "</mark>", "..."
@@ -24,26 +24,29 @@ WIDTH = 32
 NEW_PHRASE, REPEATED_PHRASE = 1000, 1
 TEXT_START, SENTENCE_START = 120, 100
 
-_MARKS = "".join(chr(c) for c in range(0x300, 0x332) if is_dropped_mark(chr(c)))
-_START = r"[^\W_]|[-]"
-_TOKEN = re.compile(rf"(?:{_START})(?:{_START}|[{_MARKS}])*")
-_SENTENCE_GAP = re.compile(r"[.:][ \t\n\r]+\Z")
+_SENTENCE_GAP = re.compile(r"[.:][ \t\n\r]+")
 
 
 @lru_cache(maxsize=1 << 16)
 def _term(raw: str, stem: bool) -> str:
-    folded = "".join(_FOLDS.get(c, c) for c in raw.lower() if not is_dropped_mark(c))
-    return stem_word(folded) if stem else folded
+    return stem_word(fold_str(raw)) if stem else fold_str(raw)
 
 
 def _phrase_hits(terms: list[str], phrases: list[tuple]) -> list[tuple[int, int]]:
     """(first token, phrase number) of every occurrence, in text order."""
+    places: dict[str, list[int]] = {}
+    for at, term in enumerate(terms):
+        places.setdefault(term, []).append(at)
     hits = []
     for number, (words, prefix, first) in enumerate(phrases):
         last = len(words) - 1
-        for at in range(1 if first else len(terms) - last):
+        if prefix and last == 0:
+            starts = [at for t, found in places.items() if t.startswith(words[0]) for at in found]
+        else:
+            starts = places.get(words[0], [])
+        for at in starts:
             there = terms[at:at + last + 1]
-            if len(there) <= last or there[:last] != words[:last]:
+            if (first and at > 0) or len(there) <= last or there[:last] != words[:last]:
                 continue
             if there[last] == words[last] or (prefix and there[last].startswith(words[last])):
                 hits.append((at, number))
@@ -53,20 +56,20 @@ def _phrase_hits(terms: list[str], phrases: list[tuple]) -> list[tuple[int, int]
 def _window_score(hits, phrases, start: int, width: int) -> tuple[int, int, int]:
     """Weight of the window at ``start``, and where its hits begin and end."""
     seen, weight, first, last = set(), 0, start, start
-    for at, number in hits:
-        if start <= at < start + width:
-            if not seen:
-                first = at
-            weight += REPEATED_PHRASE if number in seen else NEW_PHRASE
-            seen.add(number)
-            last = at + len(phrases[number][0])
+    begin = bisect_left(hits, (start, -1))
+    for at, number in hits[begin:bisect_left(hits, (start + width, -1), begin)]:
+        if not seen:
+            first = at
+        weight += REPEATED_PHRASE if number in seen else NEW_PHRASE
+        seen.add(number)
+        last = at + len(phrases[number][0])
     return weight, first, last
 
 
 def _best_window(text, spans, hits, phrases, width: int) -> int:
     n = len(spans)
-    sentences = [i for i in range(n) if i == 0 or _SENTENCE_GAP.search(
-        text, max(spans[i - 1][1] - 1, 0), spans[i][0])]
+    gap_ends = {m.end() for m in _SENTENCE_GAP.finditer(text)}
+    sentences = [i for i, (begin, _) in enumerate(spans) if i == 0 or begin in gap_ends]
     best_weight, best_start = 0, 0
     for at, _ in hits:
         weight, first, last = _window_score(hits, phrases, at, width)
@@ -85,7 +88,7 @@ def _best_window(text, spans, hits, phrases, width: int) -> int:
 
 def make_snippet(text: str, phrases: list[tuple], stem: bool = True, width: int = WIDTH) -> str:
     """The best window of a text; ``phrases`` are (words, prefix, first) triples."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    spans = [m.span() for m in TOKEN_RE.finditer(text)]
     terms = [_term(text[a:b], stem) for a, b in spans]
     hits = _phrase_hits(terms, phrases)
     start = _best_window(text, spans, hits, phrases, width)

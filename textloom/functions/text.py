@@ -8,6 +8,7 @@ stays in the JVM.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -85,3 +86,17 @@ def fold(text: Column | str) -> Column:
 def tokenize(text: Column | str) -> Column:
     """Array of folded tokens in text order (not stemmed)."""
     return F.regexp_extract_all(fold(text), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+# The same rules for the short strings that the driver or a helper handles.
+_START = "[^\\W_]|[\ue000-\uf8ff\U000f0000-\U0010fffd]"
+_MARKS = "".join(chr(c) for c in range(0x300, 0x332) if is_dropped_mark(chr(c)))
+TOKEN_RE = re.compile(f"(?:{_START})(?:{_START}|[{_MARKS}])*")
+
+
+def fold_str(text: str) -> str:
+    return "".join(_FOLDS.get(c, c) for c in text.lower() if not is_dropped_mark(c))
+
+
+def tokenize_str(text: str) -> list[str]:
+    return [fold_str(m.group()) for m in TOKEN_RE.finditer(text)]

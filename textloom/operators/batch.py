@@ -18,8 +18,11 @@ def _query_units(corpus: Corpus, queries: DataFrame, id_col: str, query_col: str
     refused = F.concat(F.lit("combine this query from the search operators: "), F.col(query_col))
     mode = F.when(F.col("mode") == "complex", F.raise_error(refused)).otherwise(F.col("mode"))
     rows = parsed.select(F.col(id_col).alias("query_id"), mode.alias("mode"), "items")
-    rows = rows.where(F.col("mode").isin("all", "any", "not")).select(
-        "query_id", "mode", F.posexplode("items").alias("item_no", "item"))
+    # Queries that match nothing have no items. The array is not exploded as a
+    # plain column, as Spark would then add a filter on its size and push the
+    # whole classification into it, to be evaluated twice.
+    items = F.filter("items", lambda x: x.isNotNull())
+    rows = rows.select("query_id", "mode", F.posexplode(items).alias("item_no", "item"))
     key = F.concat_ws(" ", F.when(F.col("item.first"), "^"), F.col("item.terms"))
     return rows.select("query_id", "mode", "item_no", key.alias("unit_id"),
                        "item.terms", "item.first", "item.required")
@@ -30,11 +33,14 @@ def _unit_hits(corpus: Corpus, units: DataFrame) -> DataFrame:
     distinct = units.select("unit_id", "terms", "first").dropDuplicates(["unit_id"])
     words = distinct.select("unit_id", "first", F.size("terms").alias("n_terms"),
                             F.posexplode("terms").alias("offset", "term"))
-    postings = corpus.postings(words.select("term").distinct())
+    postings = corpus.postings()
 
     plain = words.where((F.col("n_terms") == 1) & ~F.col("first")).select("unit_id", "term")
     single = postings.join(plain, "term").select("unit_id", "doc_id", "doc_len", "tf")
 
+    if units.where((F.size("terms") > 1) | F.col("first")).isEmpty():
+        return single
+
     # Phrases: the places where a phrase could start according to each of its
     # words; it does start where all of them agree.
     in_phrase = words.where((F.col("n_terms") > 1) | F.col("first"))

@@ -6,18 +6,20 @@ an upper-case AND, OR, NOT anywhere is one phrase; everything else is a list of
 words that must all occur, where ``^word`` asks for the first token of the text
 and ``a + b`` joins words to a phrase.
 
-One set of column expressions serves single queries and tables of queries.
+``classify_queries`` holds the rules as column expressions for tables of queries,
+``classify_query`` applies them to a single query without a Spark job.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem_tokens, stem_word
-from ..functions.text import _col, tokenize
+from ..functions.text import _col, tokenize, tokenize_str
 
 # What turns a query into one phrase.
 SPECIAL_PATTERN = r"""["'\-*:.()]|AND|OR|NOT"""
@@ -50,26 +52,30 @@ class Query:
     excluded: tuple[Unit, ...] = ()
 
 
-def _item(tokens: Column, first: Column, required: Column) -> Column:
-    return F.struct(tokens.alias("terms"), first.alias("first"), required.alias("required"))
+def _part(text: Column, first: Column, required: Column) -> Column:
+    return F.struct(text.alias("text"), first.alias("first"), required.alias("required"))
 
 
-def _bare_items(query: Column) -> Column:
+def _bare_parts(query: Column) -> Column:
     """Units of a query without quotes: blank-separated words."""
     joined = F.regexp_replace(query, rf"[{BLANKS}]*\+[{BLANKS}]*", "+")
     marked = F.regexp_replace(joined, rf"\^[{BLANKS}]*", " ^")
     words = F.filter(F.split(marked, rf"[{BLANKS}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: _item(tokenize(w), F.startswith(w, F.lit("^")), F.lit(True)))
+    return F.transform(words, lambda w: _part(w, F.startswith(w, F.lit("^")), F.lit(True)))
 
 
-def _quoted_items(query: Column, outline: Column) -> Column:
+def _quoted_parts(query: Column, outline: Column) -> Column:
     """Units of a quoted query; all but the first are negated in a NOT chain."""
     strings = F.regexp_extract_all(query, F.lit(_QUOTED), F.lit(0))
+    strings = F.when(F.startswith(outline, F.lit("Q +")),
+                     F.array(F.array_join(strings, " "))).otherwise(strings)
     negated = F.startswith(outline, F.lit("Q NOT"))
-    units = F.transform(strings, lambda s, i: _item(tokenize(s), F.lit(False), ~negated | (i == 0)))
-    phrase = F.array(_item(F.flatten(F.transform(strings, lambda s: tokenize(s))),
-                           F.lit(False), F.lit(True)))
-    return F.when(F.startswith(outline, F.lit("Q +")), phrase).otherwise(units)
+    return F.transform(strings, lambda s, i: _part(s, F.lit(False), ~negated | (i == 0)))
+
+
+def _item(terms: Column, part: Column) -> Column:
+    return F.struct(terms.alias("terms"), part["first"].alias("first"),
+                    part["required"].alias("required"))
 
 
 def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
@@ -95,13 +101,14 @@ def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     shape_col, outline_col = F.col("_shape"), F.col("_outline")
     out = queries.withColumn("_shape", shape).withColumn("_outline", outline)
 
-    none = F.array().cast("array<struct<terms:array<string>,first:boolean,required:boolean>>")
-    items = (F.when(shape_col == "quoted", _quoted_items(query, outline_col))
-             .when(shape_col == "special",
-                   F.array(_item(tokenize(query), F.lit(False), F.lit(True))))
-             .when(shape_col == "bare", _bare_items(query))
-             .otherwise(none))
-    out = out.withColumn("_items", items)
+    nothing_at_all = F.array().cast("array<struct<text:string,first:boolean,required:boolean>>")
+    parts = (F.when(shape_col == "quoted", _quoted_parts(query, outline_col))
+             .when(shape_col == "special", F.array(_part(query, F.lit(False), F.lit(True))))
+             .when(shape_col == "bare", _bare_parts(query))
+             .otherwise(nothing_at_all))
+    out = out.withColumn("_parts", parts)
+    out = out.withColumn("_items", F.transform(
+        "_parts", lambda p: _item(tokenize(p["text"]), p)))
 
     quoted_mode = (F.when(F.contains(outline_col, F.lit('"')), "invalid")
                    .when(F.rlike(outline_col, F.lit(r"^Q( Q)*$")), "all")
@@ -113,6 +120,7 @@ def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     mode = (F.when(shape_col == "blank", "empty").when(shape_col == "broken", "invalid")
             .when(shape_col == "quoted", quoted_mode).otherwise("all"))
     out = out.withColumn("mode", mode)
+    none = F.array().cast("array<struct<terms:array<string>,first:boolean,required:boolean>>")
 
     # Strings without any token are left out, except that an AND or the left
     # side of a NOT cannot hold with one.
@@ -124,7 +132,7 @@ def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     final = (F.when(nothing, "empty").when(F.col("mode") == "and", "all")
              .otherwise(F.col("mode")))
     return (out.withColumn("items", F.when(plain, kept).otherwise(none))
-            .withColumn("mode", final).drop("_shape", "_outline", "_items"))
+            .withColumn("mode", final).drop("_shape", "_outline", "_parts", "_items"))
 
 
 def stemmed_items(classified: DataFrame, stem: bool) -> DataFrame:
@@ -141,28 +149,59 @@ def stemmed_items(classified: DataFrame, stem: bool) -> DataFrame:
     rows = rows.withColumn("_starts", start)
     stems, starts, lengths = F.col("_stems"), F.col("_starts"), F.col("_sizes")
     items = F.transform("items", lambda x, i: _item(
-        F.slice(stems, F.get(starts, i) + 1, F.get(lengths, i)), x["first"], x["required"]))
+        F.slice(stems, F.get(starts, i) + 1, F.get(lengths, i)), x))
     return rows.withColumn("items", items).drop("_stems", "_starts", "_sizes")
 
 
-def classify_query(spark: SparkSession, query: str | None, stem: bool = True) -> Query:
-    """The same rules for one query, with its terms ready for matching."""
-    row = classify_queries(spark.sql("select 1 as one").select(
-        F.lit(query).cast("string").alias("query"))).first()
-    units = [(item["required"], Unit(_stemmed(item["terms"], stem), first=item["first"]))
-             for item in row["items"]]
-    return Query(row["mode"], tuple(u for required, u in units if required),
+def _outline_mode(outline: str) -> str:
+    """Mode of a quoted query whose strings are written as Q."""
+    if '"' in outline:
+        return "invalid"
+    for pattern, mode in ((r"Q( Q)*", "all"), (r"Q( \+ Q)+", "all"), (r"Q( AND Q)+", "and"),
+                          (r"Q( OR Q)+", "any"), (r"Q( NOT Q)+", "not")):
+        if re.fullmatch(pattern, outline):
+            return mode
+    return "complex"
+
+
+def _parts(query: str) -> tuple[str, list[tuple[str, bool, bool]]]:
+    """Mode of a query that is not blank, and (text, first, required) of its units."""
+    if query.startswith('"') and query.endswith('"'):
+        strings = re.findall(_QUOTED, query)
+        outline = re.sub(rf"[{BLANKS}]+", " ", re.sub(_QUOTED, " Q ", query)).strip(" ")
+        if outline.startswith("Q +"):
+            strings = [" ".join(strings)]
+        negated = outline.startswith("Q NOT")
+        return _outline_mode(outline), [(s, False, not negated or i == 0)
+                                        for i, s in enumerate(strings)]
+    if re.search(SPECIAL_PATTERN, query):
+        return "all", [(query, False, True)]
+    word = r"A-Za-z0-9_\x1a\x80-\U0010ffff"
+    if (re.search(rf"[^{word}{BLANKS}^+]", query) or re.search(rf"(^|[\^+])[{BLANKS}]*\+", query)
+            or re.search(rf"[\^+][{BLANKS}]*(\Z|[\^+])", query)):
+        return "invalid", []
+    joined = re.sub(rf"[{BLANKS}]*\+[{BLANKS}]*", "+", query)
+    words = re.split(rf"[{BLANKS}]+", re.sub(rf"\^[{BLANKS}]*", " ^", joined))
+    return "all", [(w, w.startswith("^"), True) for w in words if w]
+
+
+def classify_query(query: str | None, stem: bool = True) -> Query:
+    """The same rules for one query, worked out on the driver, with stemmed terms."""
+    if query is None or not query.strip():
+        return Query("empty")
+    mode, parts = _parts(query)
+    if mode in ("invalid", "complex"):
+        return Query(mode)
+    units = [(required, Unit(analyze(text, stem), first=first)) for text, first, required in parts]
+    hollow = any(required and not unit.terms for required, unit in units)
+    units = [(required, unit) for required, unit in units if unit.terms]
+    if not units or (hollow and mode in ("and", "not")):
+        return Query("empty")
+    return Query("all" if mode == "and" else mode,
+                 tuple(u for required, u in units if required),
                  tuple(u for required, u in units if not required))
 
 
-def _stemmed(terms, stem: bool) -> tuple[str, ...]:
-    return tuple(stem_word(t) if stem else t for t in terms)
-
-
-def analyze(spark: SparkSession, texts: list[str], stem: bool = True) -> list[tuple[str, ...]]:
-    """Tokens of a few short texts given by the caller, folded and stemmed."""
-    if not texts:
-        return []
-    row = spark.sql("select 1 as one").select(
-        F.array(*[tokenize(F.lit(t)) for t in texts]).alias("tokens")).first()
-    return [_stemmed(tokens, stem) for tokens in row["tokens"]]
+def analyze(text: str, stem: bool = True) -> tuple[str, ...]:
+    """Terms of a short text given by the caller, folded and stemmed."""
+    return tuple(stem_word(t) if stem else t for t in tokenize_str(text))

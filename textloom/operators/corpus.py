@@ -40,6 +40,10 @@ def tf_name(i: int) -> str:
     return f"tf_{i}"
 
 
+def pos_name(i: int) -> str:
+    return f"pos_{i}"
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -57,12 +61,12 @@ class Corpus(ABC):
         """``required`` units must all be present; it only serves to save work."""
 
     @abstractmethod
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """Postings, of the given ``term`` rows only if there are any."""
+    def places(self, words: list[str]) -> Hits:
+        """Documents that hold all words, with their positions ``pos_0, pos_1, ...``."""
 
     @abstractmethod
-    def postings_of(self, words: list[str]) -> DataFrame:
-        """Postings of a few words that are known when the plan is made."""
+    def postings(self) -> DataFrame:
+        """Postings of all terms."""
 
     @abstractmethod
     def totals(self) -> tuple[int, int]:
@@ -84,41 +88,45 @@ class DocumentCorpus(Corpus):
             self._totals = (row["n_docs"], row["total_len"])
         return self._totals
 
-    def postings(self, terms=None):
-        found = ops.build_postings(self.docs, self.id_col, self.text_col, self.stem)
-        return found if terms is None else found.join(terms, "term", "left_semi")
+    def postings(self):
+        return ops.build_postings(self.docs, self.id_col, self.text_col, self.stem)
+
+    def _tokens(self) -> DataFrame:
+        return ops.with_tokens(self.docs, self.text_col, self.stem, (self.id_col,))
+
+    def _kept(self, rows: DataFrame, found: list[Column], present: list[Column]):
+        """One narrow row per document, and the figures of the corpus.
 
-    def postings_of(self, words):
-        rows = ops.with_tokens(self.docs, self.text_col, self.stem, (self.id_col,))
+        It is stored, so that text is tokenised once although the scores need
+        the whole corpus first.
+        """
+        narrow = materialize(rows.select(F.col(self.id_col).alias("doc_id"),
+                                         F.size("tokens").alias("doc_len"), *found), "hits")
+        row = narrow.agg(
+            F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"),
+            *[F.count_if(p).alias(f"df_{i}") for i, p in enumerate(present)]).first()
+        self._totals = (row["n_docs"], row["total_len"])
+        return narrow, tuple(row[f"df_{i}"] for i in range(len(present)))
+
+    def places(self, words):
         tokens = F.col("tokens")
-        found = F.array(*[F.struct(F.lit(w).alias("term"), _places(tokens, w).alias("positions"))
-                          for w in words])
-        rows = (rows.where(any_of([F.array_contains(tokens, w) for w in words]))
-                .select(F.col(self.id_col).alias("doc_id"), F.size(tokens).alias("doc_len"),
-                        F.explode(found).alias("e"))
-                .where(F.size("e.positions") > 0))
-        return rows.select("e.term", "doc_id", F.size("e.positions").alias("tf"), "doc_len",
-                           "e.positions")
+        found = [F.when(F.array_contains(tokens, w), F.filter(
+            F.sequence(F.lit(0), F.size(tokens) - 1), _is_word_at(tokens, w))).alias(pos_name(i))
+            for i, w in enumerate(words)]
+        present = [F.col(pos_name(i)).isNotNull() for i in range(len(words))]
+        narrow, dfs = self._kept(self._tokens(), found, present)
+        return Hits(narrow.where(all_of(present)), *self._totals, dfs)
 
     def hits(self, units, required=()):
-        rows = ops.with_tokens(self.docs, self.text_col, self.stem, (self.id_col,))
         counts = [_count_in_tokens(F.col("tokens"), u).alias(tf_name(i))
                   for i, u in enumerate(units)]
-        # One narrow row per document is kept, so that text is tokenised once
-        # although the scores need the whole corpus' figures first.
-        narrow = materialize(rows.select(
-            F.col(self.id_col).alias("doc_id"), F.size("tokens").alias("doc_len"), *counts), "hits")
         present = [F.col(tf_name(i)) > 0 for i in range(len(units))]
-        row = narrow.agg(
-            F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"),
-            *[F.count_if(p).alias(f"df_{i}") for i, p in enumerate(present)]).first()
-        self._totals = (row["n_docs"], row["total_len"])
-        return Hits(narrow.where(any_of(present)), row["n_docs"], row["total_len"],
-                    tuple(row[f"df_{i}"] for i in range(len(units))))
+        narrow, dfs = self._kept(self._tokens(), counts, present)
+        return Hits(narrow.where(any_of(present)), *self._totals, dfs)
 
 
-def _places(tokens: Column, word: str) -> Column:
-    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i) == word)
+def _is_word_at(tokens: Column, word: str):
+    return lambda i: F.get(tokens, i) == word
 
 
 def _count_in_tokens(tokens: Column, unit: Unit) -> Column:
@@ -155,22 +163,32 @@ class PostingsCorpus(Corpus):
         self.spark = table.sparkSession
         self.table, self.n_docs, self.total_len, self.stem = table, n_docs, total_len, stem
         self.bucket = bucket
+        self._dfs: dict[str, int] = {}  # of the words asked for so far
 
     def totals(self):
         return self.n_docs, self.total_len
 
-    def postings(self, terms=None):
-        return self.table if terms is None else self.table.join(terms, "term", "left_semi")
+    def postings(self):
+        return self.table
 
-    def postings_of(self, words):
-        return self.table.where(self._with_terms(set(words)))
+    def places(self, words):
+        dfs = self._term_dfs(words)
+        rows = self._rarest([Unit((w,)) for w in words], self.table.where(self._with_terms(words)))
+        grouped = rows.groupBy("doc_id").agg(
+            F.max("doc_len").alias("doc_len"),
+            *[F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True)
+              .alias(pos_name(i)) for i, w in enumerate(words)])
+        present = [F.col(pos_name(i)).isNotNull() for i in range(len(words))]
+        return Hits(grouped.where(all_of(present)), self.n_docs, self.total_len,
+                    tuple(dfs[w] for w in words))
 
     def _with_terms(self, terms) -> Column:
         """Rows of whole terms, pruned by bucket."""
-        wanted = F.col("term").isin(*sorted(terms))
+        terms = sorted(set(terms))
+        wanted = F.col("term").isin(*terms)
         if self.bucket is None:
             return wanted
-        return any_of([self.bucket(t) for t in sorted(terms)]) & wanted
+        return any_of([self.bucket(t) for t in terms]) & wanted
 
     def _rows_of(self, units) -> DataFrame:
         whole = {t for u in units for t in (u.terms[:-1] if u.prefix else u.terms)}
@@ -181,9 +199,12 @@ class PostingsCorpus(Corpus):
 
     def _term_dfs(self, terms) -> dict[str, int]:
         """Document frequency of a few words; reads the term column only."""
-        rows = (self.table.where(self._with_terms(set(terms)))
-                .groupBy("term").agg(F.count("*").alias("df")).collect())
-        return {t: 0 for t in terms} | {r["term"]: r["df"] for r in rows}
+        unknown = [t for t in terms if t not in self._dfs]
+        if unknown:
+            rows = (self.table.where(self._with_terms(unknown))
+                    .groupBy("term").agg(F.count("*").alias("df")).collect())
+            self._dfs |= {t: 0 for t in unknown} | {r["term"]: r["df"] for r in rows}
+        return {t: self._dfs[t] for t in terms}
 
     def _rarest(self, required, rows: DataFrame) -> DataFrame:
         """Keep rows of documents with the rarest required word.

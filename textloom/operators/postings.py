@@ -74,5 +74,6 @@ def term_stats(docs: DataFrame, text_col: str = "text", stem: bool = True) -> Da
 
 def stemmed_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, stem`` for the distinct terms of a corpus."""
-    terms = with_tokens(docs, text_col, False).select(F.explode("tokens").alias("term")).distinct()
+    tokens = with_tokens(docs, text_col, False).select(F.array_distinct("tokens").alias("tokens"))
+    terms = tokens.select(F.explode("tokens").alias("term")).distinct()
     return terms.select("term", F.get(stem_tokens(F.array("term")), F.lit(0)).alias("stem"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import bm25
 from .classify import Unit, analyze, classify_query
-from .corpus import Corpus, all_of, any_of, tf_name
+from .corpus import Corpus, all_of, any_of, pos_name, tf_name
 
 RESULT_SCHEMA = "doc_id long, score double"
 
@@ -50,8 +50,8 @@ def search_units(corpus: Corpus, units: list[Unit], mode: str = "all",
 
 
 def _units(corpus: Corpus, texts, **kind) -> list[Unit]:
-    tokens = analyze(corpus.spark, list(texts), corpus.stem)
-    return [Unit(t, **kind) for t in tokens if t]
+    found = [analyze(text, corpus.stem) for text in texts]
+    return [Unit(terms, **kind) for terms in found if terms]
 
 
 def search_terms(corpus: Corpus, terms, mode: str = "all", exclude=(), k: int = 10) -> DataFrame:
@@ -80,6 +80,10 @@ def search_first(corpus: Corpus, term: str, k: int = 10) -> DataFrame:
     return search_units(corpus, _units(corpus, [term], first=True), k=k)
 
 
+def _marked(word: int):
+    return lambda p: F.struct(F.lit(word).alias("word"), p.alias("pos"))
+
+
 def search_near(corpus: Corpus, terms, n: int = 10, k: int = 10) -> DataFrame:
     """Documents where all terms lie in any order with at most n tokens between
     the outer two.
@@ -95,11 +99,10 @@ def search_near(corpus: Corpus, terms, n: int = 10, k: int = 10) -> DataFrame:
         return no_results(corpus)
     # The same word twice asks for nothing more, but it is scored twice.
     distinct = list(dict.fromkeys(words))
-    found = corpus.hits([Unit((w,)) for w in distinct], [Unit((w,)) for w in distinct])
-    have_all = found.frame.where(all_of([F.col(tf_name(i)) > 0 for i in range(len(distinct))]))
-    rows = corpus.postings_of(distinct).select("doc_id", "doc_len", "term", "positions")
-    rows = rows.join(have_all.select("doc_id"), "doc_id", "left_semi")
-    places = rows.select("doc_id", "doc_len", "term", F.explode("positions").alias("pos"))
+    found = corpus.places(distinct)
+    marked = F.concat(*[F.transform(pos_name(i), _marked(i)) for i in range(len(distinct))])
+    places = found.frame.select("doc_id", "doc_len", F.explode(marked).alias("p")).select(
+        "doc_id", "doc_len", "p.*")
 
     # Walk the occurrences of a document backwards for the next place of every
     # term, which tells the starts of a group; then forwards for the last start.
@@ -107,14 +110,15 @@ def search_near(corpus: Corpus, terms, n: int = 10, k: int = 10) -> DataFrame:
                  .rowsBetween(Window.unboundedPreceding, 0))
     forwards = (Window.partitionBy("doc_id").orderBy(F.asc("pos"))
                 .rowsBetween(Window.unboundedPreceding, 0))
-    ends = [F.min(F.when(F.col("term") == w, F.col("pos"))).over(backwards) for w in distinct]
+    ends = [F.min(F.when(F.col("word") == i, F.col("pos"))).over(backwards)
+            for i in range(len(distinct))]
     is_start = all_of([F.coalesce(e <= F.col("pos") + n + 1, F.lit(False)) for e in ends])
     places = places.withColumn("start", F.when(is_start, F.col("pos")))
     places = places.withColumn("start", F.max("start").over(forwards))
     near = places.where(F.col("pos") - F.col("start") <= n + 1)
     counted = near.groupBy("doc_id").agg(
         F.max("doc_len").alias("doc_len"),
-        *[F.count_if(F.col("term") == w).alias(tf_name(i)) for i, w in enumerate(distinct)])
+        *[F.count_if(F.col("word") == i).alias(tf_name(i)) for i in range(len(distinct))])
     score = F.lit(0.0)
     for w in words:
         i = distinct.index(w)
@@ -129,7 +133,7 @@ def search(corpus: Corpus, query: str | None, k: int = 10) -> DataFrame:
     Quoted queries that mix AND, OR and NOT raise ValueError: write them with
     ``search_units``.
     """
-    parsed = classify_query(corpus.spark, query, corpus.stem)
+    parsed = classify_query(query, corpus.stem)
     if parsed.mode == "complex":
         raise ValueError(f"combine this query from the search operators: {query}")
     if parsed.mode in ("empty", "invalid"):

@@ -33,7 +33,7 @@ def with_snippets(results: DataFrame, documents: DataFrame, units: list[Unit], s
 
 def snippets_for_query(corpus: Corpus, results: DataFrame, documents: DataFrame, query: str,
                        **options) -> DataFrame:
-    parsed = classify_query(corpus.spark, query, corpus.stem)
+    parsed = classify_query(query, corpus.stem)
     return with_snippets(results, documents, list(parsed.units), corpus.stem, **options)
 
 
