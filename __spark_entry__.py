@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import filetypes as ft
+from textloom.functions.porter import STEP2, STEP3, STEP4
 from textloom.operators import changes as ch
 from textloom.operators import postings as po
 from textloom.operators import search as se
@@ -632,6 +633,74 @@ _OUTCOMES = f"""{_RAW}, {_PREV.split(', prev as')[1].join(['prev as', ''])}, act
                 when f.size = p.size and f.mtime = p.mtime then 'unchanged' else 'updated' end as action
     from outcome f full outer join prev p on f.path = p.path)"""
 
+def _shape(word: str) -> str:
+    """Vowels as v and all else as c; y is a vowel after a consonant."""
+    marked = f"regexp_replace({word}, '(^|[aeiou])y', '\\1Y', 'g')"
+    return f"regexp_replace(regexp_replace({marked}, '[^aeiouy]', 'c', 'g'), '[aeiouy]', 'v', 'g')"
+
+
+def _short_end(stem: str) -> str:
+    return f"(regexp_matches({_shape(stem)}, 'cvc$') and regexp_matches({stem}, '[^wxy]$'))"
+
+
+def _split(step: str, source: str, suffixes) -> str:
+    """A step's words cut into stem s and longest suffix e that leaves a character."""
+    pattern = f"'^(.+?)({'|'.join(suffixes)})$'"
+    return (f"{step} as (select term, w, regexp_extract(w, {pattern}, 1) as s, "
+            f"regexp_extract(w, {pattern}, 2) as e from {source})")
+
+
+def _cases(rules: dict[str, str]) -> str:
+    return "case e " + " ".join(f"when '{a}' then '{b}'" for a, b in rules.items()) + " end"
+
+
+def _porter_sql(terms: str) -> str:
+    """CTEs that end in stems(term, stem) for the rows of ``terms(term)``."""
+    m0, m1 = f"regexp_matches({_shape('s')}, 'vc')", f"regexp_matches({_shape('s')}, 'vc.*vc')"
+    vowel = f"contains({_shape('s')}, 'v')"
+    return f"""{terms}, a0 as (select term, term as w from terms
+        where octet_length(encode(term)) between 3 and 64),
+    a as (select term, case when w like '_%sses' or w like '_%ies' then w[:-3] when w like '_%ss' then w
+        when w like '_%s' then w[:-2] else w end as w from a0),
+    {_split('b0', 'a', ('eed', 'ed', 'ing'))},
+    b as (select term, case when e = 'eed' then case when {m0} then s || 'ee' else w end
+        when e <> '' and {vowel} then
+          case when regexp_matches(s, '.(at|bl|iz)$') then s || 'e'
+               when len(s) > 1 and s[-1] = s[-2] and regexp_matches(s, '[^aeioulsz]$') then s[:-2]
+               when {m0} and not {m1} and {_short_end('s')} then s || 'e' else s end
+        else w end as w from b0),
+    c as (select term, case when w like '%y' and contains({_shape('w[:-2]')}, 'v')
+        then w[:-2] || 'i' else w end as w from b),
+    {_split('d0', 'c', STEP2)},
+    dd as (select term, case when e <> '' and {m0} then s || {_cases(STEP2)} else w end as w from d0),
+    {_split('e0', 'dd', STEP3)},
+    f as (select term, case when e <> '' and {m0} then s || {_cases(STEP3)} else w end as w from e0),
+    {_split('g0', 'f', STEP4)},
+    g as (select term, case when e <> '' and {m1} and (e <> 'ion' or regexp_matches(s, '[st]$'))
+        then s else w end as w from g0),
+    h0 as (select term, w, w[:-2] as s from g),
+    h as (select term, case when w like '%e' and ({m1} or ({m0} and not {_short_end('s')}))
+        then s else w end as w from h0),
+    i0 as (select term, w, w[:-2] as s from h),
+    stemmed as (select term, case when w like '%ll' and {m1} then s else w end as stem from i0),
+    stems as (select term, coalesce(stem, term) as stem from terms left join stemmed using (term))"""
+
+
+_VOCABULARY = f"""{_DOCS}, terms as (select distinct unnest(t) as term from d)"""
+_SEARCH_STEMMED = f"""with {_porter_sql(_VOCABULARY)},
+    x as (select doc_id, unnest(t) as term from d),
+    y as (select doc_id, stem, count(*) as tf from x join stems using (term) group by all),
+    z as (select doc_id, len(t) as dl,
+        coalesce((select tf from y where y.doc_id = d.doc_id and stem = 'tion'), 0) as f0,
+        coalesce((select tf from y where y.doc_id = d.doc_id and stem = 'with'), 0) as f1 from d),
+    figures as (select count(*) as n, sum(dl) / count(*) as avgdl, count(*) filter (f0 > 0) as df0,
+                 count(*) filter (f1 > 0) as df1 from z),
+    r as (select doc_id,
+        greatest(ln((n - df0 + 0.5) / (df0 + 0.5)), 0.000001) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+        + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 0.000001) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) as raw
+        from z, figures where f0 > 0 and f1 > 0)
+    select doc_id, round(raw, 6) as score from (select * from r order by raw desc, doc_id limit 20)"""
+
 _CHANGED_DOCS = f"""{_FILES}, k as (select *, doc_id % 12 as kind, doc_id % 2 = 1 as odd from files)
     , stored as (
     select doc_id, path, case when odd or kind = 6 then content || ' Refreshed' else content end as content,
@@ -654,6 +723,9 @@ def oracle_sql() -> dict[str, str]:
         "q_index_postings": _POSITIONS,
         "q_token_stats": f"""with {_DOCS}, x as (select doc_id, unnest(t) as term from d)
             select term, count(distinct doc_id) as df, count(*) as cf from x group by term""",
+        "q_stemmed_vocabulary": f"with {_porter_sql(_VOCABULARY)} select term, stem from stems",
+        "q_search_stemmed": _SEARCH_STEMMED,
+        "q_search_stemmed_documents": _SEARCH_STEMMED,
         "q_doc_lengths": f"with {_DOCS} select doc_id, cast(len(t) as integer) as doc_len from d",
         "q_corpus_stats": f"""with {_DOCS} select count(*) as n_docs,
             cast(sum(len(t)) as bigint) as total_len from d""",

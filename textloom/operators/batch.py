@@ -67,9 +67,19 @@ def search_batch(corpus: Corpus, queries: DataFrame, k: int = 10, id_col: str =
     Queries are classified like single ones. A unit used by many queries is
     looked up once. A query that needs all its units starts from the documents
     of its rarest one and looks up the others by (unit, document), so the
-    frequent words of queries neither multiply rows nor form hot groups.
+    frequent words of queries neither multiply rows nor form hot groups. Equal
+    queries are answered once, and their few result rows are joined back.
     """
-    units = materialize(_query_units(corpus, queries, id_col, query_col), "units")
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(query_col).alias("query"))
+    distinct = asked.select("query").distinct()
+    best = _best_of_each(corpus, distinct.withColumn("id", F.col("query")), k)
+    best = best.withColumnRenamed("query_id", "query")
+    return asked.join(best, "query").select("query_id", "rank", "doc_id", "score")
+
+
+def _best_of_each(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, doc_id, score`` for ``id, query`` rows."""
+    units = materialize(_query_units(corpus, queries, "id", "query"), "units")
     hits = materialize(_unit_hits(corpus, units), "hits")
     n_docs, total_len = corpus.totals()
     avg_len = total_len / n_docs if n_docs and total_len else 1.0
