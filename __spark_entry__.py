@@ -701,6 +701,33 @@ _SEARCH_STEMMED = f"""with {_porter_sql(_VOCABULARY)},
         from z, figures where f0 > 0 and f1 > 0)
     select doc_id, round(raw, 6) as score from (select * from r order by raw desc, doc_id limit 20)"""
 
+_SNIPPETS = rf"""{_SEARCH_STEMMED.replace('select doc_id, round(raw, 6)', ', best as (select doc_id, round(raw, 6)')}),
+    tx as (select doc_id, score, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') as toks,
+                  string_split_regex(text, '[\p{{L}}\p{{N}}]+') as gaps
+           from best join documents using (doc_id)),
+    tk as (select doc_id, len(toks) as n, gaps, unnest(toks) as tok, unnest(range(0, len(toks))) as pos from tx),
+    hits as (select doc_id, n, pos, stem from tk join stems on strip_accents(lower(tok)) = term
+             where stem in ('tion', 'with')),
+    sent as (select doc_id, pos from tk where pos = 0 or regexp_matches(gaps[pos + 1], '[.:][ \t\n\r]+$')),
+    cand as (select doc_id, n, pos as seq, 0 as sub, pos as p, 0 as bonus from hits
+             union all
+             select doc_id, n, seq, 1, p, case when p = 0 then 120 else 100 end from (
+                 select h.doc_id, h.n, h.pos as seq, max(s.pos) as p from hits h join sent s
+                 on s.doc_id = h.doc_id and s.pos <= h.pos where h.n > 32 group by all) where p < seq),
+    weighed as (select c.doc_id, c.n, seq, sub, p, bonus + 999 * count(distinct h.stem) + count(*) as weight,
+                       min(h.pos) as head, max(h.pos) + 1 as tail
+                from cand c join hits h on h.doc_id = c.doc_id and h.pos between c.p and c.p + 31 group by c.doc_id, c.n, seq, sub, p, bonus),
+    chosen as (select doc_id, case when sub = 1 then p else
+                   greatest(least(head - trunc((32 - (tail - head)) / 2.0), n - 32), 0) end as st
+               from weighed qualify row_number() over (partition by doc_id order by weight desc, seq, sub) = 1),
+    shown as (select tk.doc_id, string_agg(case when pos > st then gaps[pos + 1] else '' end
+                  || case when exists (select 1 from hits h where h.doc_id = tk.doc_id and h.pos = tk.pos)
+                     then '<mark>' || tok || '</mark>' else tok end, '' order by pos) as body,
+                  any_value(case when st > 0 then '...' else gaps[1] end) as head,
+                  any_value(case when st + 31 >= n - 1 then gaps[n + 1] else '...' end) as tail
+              from tk join chosen using (doc_id) where pos between st and st + 31 group by tk.doc_id)
+    select doc_id, score, head || body || tail as snippet from tx join shown using (doc_id)"""
+
 _CHANGED_DOCS = f"""{_FILES}, k as (select *, doc_id % 12 as kind, doc_id % 2 = 1 as odd from files)
     , stored as (
     select doc_id, path, case when odd or kind = 6 then content || ' Refreshed' else content end as content,
@@ -726,6 +753,7 @@ def oracle_sql() -> dict[str, str]:
         "q_stemmed_vocabulary": f"with {_porter_sql(_VOCABULARY)} select term, stem from stems",
         "q_search_stemmed": _SEARCH_STEMMED,
         "q_search_stemmed_documents": _SEARCH_STEMMED,
+        "q_snippet_topk": _SNIPPETS,
         "q_doc_lengths": f"with {_DOCS} select doc_id, cast(len(t) as integer) as doc_len from d",
         "q_corpus_stats": f"""with {_DOCS} select count(*) as n_docs,
             cast(sum(len(t)) as bigint) as total_len from d""",

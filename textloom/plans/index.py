@@ -16,6 +16,7 @@ Readers keep the generation they opened. One writer at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -63,6 +64,10 @@ _FILE_COLUMNS = [f.name for f in FILES_SCHEMA if f.name not in ("generation", "d
 _POSTING_COLUMNS = [f.name for f in POSTINGS_SCHEMA if not f.name.endswith(("_bucket", "generation"))]
 
 
+def _without(schema: StructType, name: str) -> StructType:
+    return StructType([f for f in schema if f.name != name])
+
+
 @dataclass(frozen=True)
 class Bucket:
     """One row of the manifest."""
@@ -152,15 +157,18 @@ class Index:
 def open_index(spark: SparkSession, location: str) -> Index | None:
     """The newest complete generation, or None where there is no index yet."""
     try:
-        manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{location}/manifest")
+        manifests = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{location}/manifest").inputFiles()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    newest = manifest.agg(F.max("generation")).first()[0]
-    if newest is None:
+    # Only names are looked at: the newest manifest is the only one to be read.
+    numbers = [int(n) for f in manifests for n in re.findall(r"/generation=(\d+)/", f)]
+    if not numbers:
         return None
-    rows = manifest.where(F.col("generation") == newest).collect()
+    newest = max(numbers)
+    rows = spark.read.schema(_without(MANIFEST_SCHEMA, "generation")).parquet(
+        f"{location}/manifest/generation={newest}").collect()
     return Index(
         spark, location, newest, rows[0]["doc_buckets"], rows[0]["term_buckets"],
         rows[0]["stem"], rows[0]["stream"], rows[0]["batch_id"],
@@ -210,10 +218,6 @@ def _error_rows(changes: DataFrame, before: DataFrame | None, run_time: float,
         "error", "content", "last_modified", "born", doc_bucket_of("path", buckets).alias("doc_bucket"))
 
 
-def _without(schema: StructType, name: str) -> StructType:
-    return StructType([f for f in schema if f.name != name])
-
-
 def apply_changes(spark: SparkSession, location: str, changes: DataFrame, run_time: float,
                   stem: bool = True, doc_buckets: int = DOC_BUCKETS,
                   term_buckets: int = TERM_BUCKETS, stream: str | None = None,
