@@ -17,11 +17,12 @@ def work_dir(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="textloom-")
-    spark.conf.set(CHECKPOINT_CONF, base)
-    return base
+    if not hasattr(sc, "_textloom_work_dir"):
+        sc._textloom_work_dir = tempfile.mkdtemp(prefix="textloom-")
+    return sc._textloom_work_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
