@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -23,7 +23,17 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stem: bool = True) -> DataFrame:
     """``doc_id, pos, term``: one row per token."""
     tokens = with_tokens(docs, text_col, stem, (id_col,))
-    return tokens.select(F.col(id_col).alias("doc_id"), F.posexplode("tokens").alias("pos", "term"))
+    return tokens.select(F.col(id_col).alias("doc_id"),
+                         F.posexplode(_once(F.col("tokens"))).alias("pos", "term"))
+
+
+def _once(tokens: Column) -> Column:
+    """The same array as an expression of its own.
+
+    Exploding a plain column makes Spark filter on its size first and push that
+    filter below the column's definition, so that text would be tokenised twice.
+    """
+    return F.concat(tokens, F.array().cast("array<string>"))
 
 
 def build_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -74,6 +84,6 @@ def term_stats(docs: DataFrame, text_col: str = "text", stem: bool = True) -> Da
 
 def stemmed_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``term, stem`` for the distinct terms of a corpus."""
-    tokens = with_tokens(docs, text_col, False).select(F.array_distinct("tokens").alias("tokens"))
-    terms = tokens.select(F.explode("tokens").alias("term")).distinct()
+    tokens = with_tokens(docs, text_col, False)
+    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
     return terms.select("term", F.get(stem_tokens(F.array("term")), F.lit(0)).alias("stem"))

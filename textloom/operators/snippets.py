@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.snippets import WIDTH, snippet
+from ..plans.workdir import materialize
 from .batch import _query_units
 from .classify import Unit, classify_query
 from .corpus import Corpus
@@ -47,7 +48,10 @@ def with_batch_snippets(corpus: Corpus, results: DataFrame, queries: DataFrame,
         F.sort_array(F.collect_list(F.struct("item_no", "terms", "first"))),
         lambda u: F.struct(u["terms"].alias("terms"), F.lit(False).alias("prefix"),
                            u["first"].alias("first"))).alias("_phrases"))
+    # Stored first, so that the join with the texts is planned by the real size
+    # of the result rows and need not shuffle the texts when they are few.
+    wanted = materialize(results.join(phrases, "query_id"), "results")
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    joined = results.join(phrases, "query_id").join(texts, "doc_id")
+    joined = wanted.join(texts, "doc_id")
     return joined.withColumn(
         "snippet", snippet("_text", "_phrases", corpus.stem, width)).drop("_text", "_phrases")
