@@ -26,6 +26,15 @@ from textloom.sources.files import filter_files, read_text, write_tree
 from textloom.sources.tables import read_table
 from textloom.streaming.feed import stream_index
 
+try:
+    from textloom.llm.queries import QUERIES as LLM_QUERIES
+    from textloom.llm.queries import SQL as LLM_SQL
+except ModuleNotFoundError as error:
+    # The subpackage and its pipeline may be left out of an installation.
+    if not (error.name or "").startswith(("textloom.llm", "corpus_pipeline")):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -444,6 +453,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_needs_reindex": lambda s, d: st.needs_reindex(_metadata(s, d)),
         "q_document_count": lambda s, d: st.document_count(_stored_documents(s, d)),
         "q_index_stats": q_index_stats,
+        **LLM_QUERIES,
     }
 
 
@@ -840,4 +850,4 @@ def oracle_sql() -> dict[str, str]:
              from metadata) as last_scan, 1.5::double as index_size_mb,
             (select count(*) from stored) as total_documents, count(error) as errors_encountered from metadata""",
     }
-    return sql
+    return sql | LLM_SQL
