@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences.
 
 A sentence's probability is the logistic of a bias and the weights of its distinct
-words. A document's is the noisy-or of its sentences, 1 - prod(1 - p): one bad sentence
+words' features. A document's is the noisy-or of its sentences, 1 - prod(1 - p): one bad sentence
 is enough. Only documents carry labels; the gradient of the bag's likelihood shares them
 out among the sentences, which is what then locates the offending ones.
 
 The model is fitted in one task on a bounded sample of labelled documents (``SAMPLE``
-of each label, by hash of the id); its vocabulary is bounded too and goes to all tasks.
+of each label, by hash of the id); it has at most ``FEATURES`` features and goes to all tasks.
+Features are the words and their beginnings, chosen by how much a document's having them
+tells about its label.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels are not
 learnt from, of repeated labels the largest counts; a null id is not held out; with no
@@ -16,6 +18,7 @@ alike. Neither ids, languages, sources nor labels enter a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,22 +31,37 @@ from pyspark.sql import functions as F
 from textloom.llm.columns import as_text
 from textloom.plans.workdir import materialize, ship_package
 
-SAMPLE = 3000            # documents of each label that the model is fitted on
-VOCABULARY = 50_000      # words with a weight, the most frequent first
-FEWEST_DOCS = 3          # documents of the sample that a word must be in
-STEPS = 150
+SAMPLE = 4000            # documents of each label that the model is fitted on
+FEATURES = 1500          # features with a weight: those whose presence tells most about the label
+FEWEST_DOCS = 4          # documents of the sample that a feature must be in
+PREFIXES = (4, 5, 6)     # beginnings of words that are features too: compounds and inflections
+STEPS = 250
+KEPT_WORDS = 800_000     # tokens whose weight a Python worker remembers
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
+SPOKEN = re.compile(r"[^\W\d_][^.!?\n]*")  # one match in each sentence that has a word
+LEAST_DEVIATION = 2.0    # of a feature's share in toxic documents from that in clean ones
+LEAST_WEIGHT = 0.2       # smaller ones are left out of the model
 OFFENDING = 0.3
 
 
-def sentences(text: str) -> list[tuple[int, int, set[str]]]:
-    """(start, end, distinct words) of each sentence that has a word."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        if words := set(WORD.findall(m.group().lower())):
-            out.append((m.start(), m.end(), words))
-    return out
+def features_of(token: str) -> list[str]:
+    """The runs of letters in a token of a text, and their beginnings."""
+    return [f for word in WORD.findall(token)
+            for f in (word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n])]
+
+
+def sentences(text: str) -> list[set[str]]:
+    """The distinct tokens of each sentence that has a word."""
+    return [set(part.split()) for part in SENTENCE.findall(lower(text)) if WORD.search(part)]
+
+
+def lower(text: str) -> str:
+    """Lower case that keeps the place of every character."""
+    lowered = text.lower()
+    if len(lowered) == len(text):
+        return lowered
+    return "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
 
 
 @dataclass
@@ -51,42 +69,75 @@ class Model:
     bias: float
     weights: dict[str, float]
 
+    def __post_init__(self):
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self):
+        return {"bias": self.bias, "weights": self.weights, "known": {}}
+
+    def weight(self, token: str) -> float:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        found = sum(self.weights.get(f, 0.0) for f in features_of(token))
+        self.known[token] = found
+        return found
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of offending sentences."""
-        clean, offending, get = 0.0, [], self.weights.get
-        for m in SENTENCE.finditer(text):
-            words = set(WORD.findall(m.group().lower()))
-            if not words:
+        low = lower(text)
+        known, weight, hits = self.known, self.weight, {}
+        for w in set(low.split()):
+            x = known[w] if w in known else weight(w)
+            if x:
+                hits[w] = x
+        plain, clean, offending = len(SPOKEN.findall(low)), 0.0, []
+        for m in SENTENCE.finditer(low) if hits else ():
+            z = sum([hits[w] for w in set(m.group().split()) if w in hits])
+            if not z:
                 continue
-            z = self.bias + sum([get(w, 0.0) for w in words])
-            # log(1 - p) of the logistic, without overflow
-            clean -= np.logaddexp(0.0, z) if z > -30 else 0.0
+            plain -= 1
+            z += self.bias
+            clean -= math.log1p(math.exp(-abs(z))) + max(z, 0.0)
             if z > -0.8472979:  # logit of OFFENDING
-                offending.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
-        return float(-np.expm1(clean)), offending
+                offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
+        clean -= plain * math.log1p(math.exp(self.bias))
+        return -math.expm1(clean), offending
+
+
+def chosen_features(bags: list[list[set[str]]], toxic: list[int], most: int = FEATURES) -> list[str]:
+    """The features whose presence in a document deviates most between the labels."""
+    counts: dict[str, list[int]] = {}
+    for bag, y in zip(bags, toxic):
+        for f in {f for w in set().union(*bag) for f in features_of(w)}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    n1 = max(1, sum(toxic))
+    n0 = max(1, len(toxic) - n1)
+
+    def deviation(c):
+        share = (c[0] + c[1] + 1) / (n0 + n1 + 2)
+        return (c[1] / n1 - c[0] / n0) / (share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5
+
+    told = sorted(((deviation(c), f) for f, c in counts.items() if sum(c) >= FEWEST_DOCS), reverse=True)
+    return [f for d, f in told[:most] if d > LEAST_DEVIATION]
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = STEPS, rate: float = 0.15,
-        decay: float = 2e-6) -> Model:
+def fit(texts: list[str], toxic: list[int], steps: int = STEPS, rate: float = 0.1,
+        decay: float = 1e-5) -> Model:
     """Maximum likelihood of the noisy-or by Adam, over all sentences at once."""
-    bags = [[s[2] for s in sentences(t)] for t in texts]
-    seen: dict[str, int] = {}
-    for bag in bags:
-        for w in set().union(*bag):
-            seen[w] = seen.get(w, 0) + 1
-    words = sorted((w for w, n in seen.items() if n >= FEWEST_DOCS), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    index = {w: i for i, w in enumerate(words)}
+    bags = [sentences(t) for t in texts]
+    names = chosen_features(bags, toxic)
+    index = {f: i for i, f in enumerate(names)}
     features, owner, bag_of = [], [], []
     for b, bag in enumerate(bags):
         for sentence in bag:
-            own = [index[w] for w in sentence if w in index]
+            own = [index[f] for w in sentence for f in features_of(w) if f in index]
             features += own
             owner += [len(bag_of)] * len(own)
             bag_of.append(b)
     features, owner, bag_of = np.array(features, np.int64), np.array(owner, np.int64), np.array(bag_of, np.int64)
     y = np.array(toxic, np.float64)
-    theta = np.zeros(len(words) + 1)
-    theta[-1] = -8.0
+    theta = np.zeros(len(names) + 1)
+    theta[-1] = -7.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1 if len(bag_of) else 1):
         z = theta[-1] + np.bincount(owner, theta[features], len(bag_of))
@@ -95,11 +146,11 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, rate: float = 0.
         whole = np.clip(-np.expm1(clean), 1e-9, 1.0)
         # Of a toxic bag each sentence is to blame by its share; of a clean one each in full.
         slope = p * np.where(y[bag_of] > 0, (1 - whole[bag_of]) / whole[bag_of], -1.0)
-        grad = np.append(np.bincount(features, slope[owner], len(words)), slope.sum()) / max(1, len(y))
+        grad = np.append(np.bincount(features, slope[owner], len(names)), slope.sum()) / max(1, len(y))
         grad[:-1] -= decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return Model(float(theta[-1]), {w: float(theta[i]) for i, w in enumerate(words) if abs(theta[i]) > 1e-4})
+    return Model(float(theta[-1]), {f: float(theta[i]) for i, f in enumerate(names) if abs(theta[i]) >= LEAST_WEIGHT})
 
 
 def held_out(id_col: str = "doc_id"):
