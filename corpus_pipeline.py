@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row."""
-    decoded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    decoded = bpe.round_trip(docs, VOCABULARY)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.columns import as_text
-from textloom.llm.vocab import WordIds, chunks, library
+from textloom.llm.vocab import WordIds, chunks, library, packed
 from textloom.plans.workdir import materialize, new_path, ship_package
 
 MAGIC = b"TLBITS01"
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 23
+KEPT_PIECES = 300_000
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -92,13 +93,17 @@ class Shard:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordIds:
-    made = library(path)
+    tokenize, known = library(path).model.tokenize, {}
 
-    def encode(words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        return [np.array(e.ids, "<i4").tobytes() for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(pieces: list[str]) -> bytes:
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = packed([t.id for t in tokenize(p)])
+        return b"".join([known[p] for p in pieces])
 
-    return WordIds(encode)
+    return WordIds(path, ids)
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id",

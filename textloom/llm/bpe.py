@@ -15,7 +15,6 @@ than the id are not carried over, so their names can't clash.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.columns import as_text
-from textloom.llm.vocab import WordIds, chunks, id_lists, library, vocabulary
+from textloom.llm.vocab import WordIds, chunks, id_lists, library, packed, vocabulary
 from textloom.plans.workdir import ship_package
 
-KEPT_FRAGMENTS = 200_000
+KEPT_FRAGMENTS = 250_000
 
 
 def byte_pairs_inside(tokens, suffix: str) -> set[str]:
@@ -41,64 +40,47 @@ def byte_pairs_inside(tokens, suffix: str) -> set[str]:
 
 
 class ForcedBoundaryEncoder:
-    """Encodes words; both models have the file's merges, one of them its end-of-word mark."""
+    """Ids of pre-tokens; both models have the file's merges, one of them its end-of-word mark."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
-        spec = vocabulary(path)
-        model = spec["model"]
-        self.whole = library(path)
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
-        self.pairs = byte_pairs_inside(model["vocab"], self.suffix)
-
-        def bare(suffix):
-            return Tokenizer.from_str(json.dumps({
-                "version": spec["version"], "truncation": None, "padding": None, "added_tokens": [],
-                "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None,
-                "model": model | {"end_of_word_suffix": suffix}}))
-
-        self.inner, self.last = bare(None), bare(self.suffix or None)
-        self.ids: dict[tuple[bool, str], bytes] = {}
+        model = vocabulary(path)["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.pairs = byte_pairs_inside(model["vocab"], suffix)
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.inner = BPE(model["vocab"], merges)
+        self.last = BPE(model["vocab"], merges, end_of_word_suffix=suffix) if suffix else self.inner
+        self.inner_ids: dict[str, bytes] = {}
+        self.last_ids: dict[str, bytes] = {}
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a pre-token in byte characters."""
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(piece)):
-            if piece[i - 1:i + 1] not in pairs:
-                out.append(piece[start:i])
-                start = i
-        out.append(piece[start:])
-        return out
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        plans = []
-        for word in words:
-            if any(s in word for s in self.specials):
-                plans.append(np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids,
-                                      "<i4").tobytes())
-                continue
-            text = self.whole.normalizer.normalize_str(word.decode())
-            plan = []
-            for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(text):
-                parts = self.cut(piece)
-                plan += [(False, p) for p in parts[:-1]]
-                plan.append((True, parts[-1]))
-            plans.append(plan)
-        if len(self.ids) > KEPT_FRAGMENTS:
-            self.ids.clear()
-        missing = {k for plan in plans if isinstance(plan, list) for k in plan if k not in self.ids}
-        for ends, model in ((False, self.inner), (True, self.last)):
-            new = [k for k in missing if k[0] == ends]
-            for k, e in zip(new, model.encode_batch([k[1] for k in new], add_special_tokens=False)):
-                self.ids[k] = np.array(e.ids, "<i4").tobytes()
-        return [p if isinstance(p, bytes) else b"".join([self.ids[k] for k in p]) for p in plans]
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(piece)) if piece[i - 1:i + 1] not in pairs]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
+
+    @staticmethod
+    def _ids(fragment: str, model, known: dict[str, bytes]) -> bytes:
+        found = known.get(fragment)
+        if found is None:
+            if len(known) > KEPT_FRAGMENTS:
+                known.clear()
+            found = known[fragment] = packed([t.id for t in model.tokenize(fragment)])
+        return found
+
+    def ids(self, pieces: list[str]) -> bytes:
+        out = []
+        for piece in pieces:
+            *inner, last = self.cut(piece)
+            out += [self._ids(f, self.inner, self.inner_ids) for f in inner]
+            out.append(self._ids(last, self.last, self.last_ids))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordIds:
-    return WordIds(ForcedBoundaryEncoder(path).encode)
+    return WordIds(path, ForcedBoundaryEncoder(path).ids)
 
 
 @lru_cache(maxsize=2)
@@ -112,17 +94,36 @@ def token_table(path: str) -> np.ndarray:
     return table
 
 
+def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    words = encoder(path)
+    for start, stop in chunks(batch.column(1)):
+        part = batch.slice(start, stop - start)
+        yield part.column(0), id_lists([words.of(t.as_py()) for t in part.column(1)])
+
+
+def _decoded(ids: pa.ListArray, path: str) -> pa.Array:
+    table, texts = token_table(path), []
+    flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
+    offsets = offsets - offsets[0]
+    for a, b in zip(offsets, offsets[1:]):
+        own = flat[a:b]
+        texts.append(" ".join([t for t in table[own[(own >= 0) & (own < len(table))]] if t is not None]))
+    return pa.array(texts, pa.string())
+
+
+def _check_decoder(path: str) -> None:
+    if vocabulary(path)["decoder"] is not None:
+        raise ValueError(f"{path} has a decoder of its own")
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each whole text, an array of ints."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
         for batch in batches:
-            for start, stop in chunks(batch.column(1)):
-                part = batch.slice(start, stop - start)
-                ids = id_lists([words.of(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
+            for keys, ids in _encoded(batch, path):
+                yield pa.RecordBatch.from_arrays([keys, ids], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), as_text(text_col).alias("text"))
@@ -131,25 +132,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded): tokens by id, joined as a vocabulary without a decoder joins them."""
-    if vocabulary(path)["decoder"] is not None:
-        raise ValueError(f"{path} has a decoder of its own")
+    _check_decoder(path)
     ship_package(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(path)
         for batch in batches:
-            ids = batch.column(1)
-            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
-            offsets = offsets - offsets[0]
-            for start in range(0, len(ids), 256):
-                stop = min(start + 256, len(ids))
-                texts = []
-                for a, b in zip(offsets[start:stop], offsets[start + 1:stop + 1]):
-                    own = flat[a:b]
-                    own = table[own[(own >= 0) & (own < len(table))]]
-                    texts.append(" ".join([t for t in own if t is not None]))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(1), path)],
                                                  ["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -157,6 +147,21 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             .mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col))
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``decode`` of ``encode``, in one pass through Python."""
+    _check_decoder(path)
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, ids in _encoded(batch, path):
+                yield pa.RecordBatch.from_arrays([keys, ids, _decoded(ids, path)], ["id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return (docs.select(F.col(id_col).alias("id"), as_text(text_col).alias("text"))
+            .mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col))
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded texts."""
     return decoded.select(

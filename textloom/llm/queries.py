@@ -168,7 +168,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

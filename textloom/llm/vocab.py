@@ -8,6 +8,8 @@ after the other, and a task encodes each distinct word once.
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 400_000       # words that a Python worker remembers before it starts anew
-CHUNK_BYTES = 8 << 20      # text that is encoded before its ids are handed on
+KEPT_WORDS = 600_000       # words that a Python worker remembers before it starts anew
+CHUNK_BYTES = 4 << 20      # text that is encoded before its ids are handed on
 
 
 @lru_cache(maxsize=2)
@@ -41,11 +43,59 @@ def library(path: str):
     return made
 
 
+# Words of these characters need no normaliser: lower case is all that it would do.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# Fixed value: the pattern of word_bpe files, for lower-cased plain words.
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+BYTES = _byte_characters()
+PLAIN_BYTES = {c: "".join(BYTES[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+class Pieces:
+    """Words as the pre-tokens of a vocabulary, in byte characters."""
+
+    def __init__(self, path: str):
+        spec = vocabulary(path)
+        self.library = library(path)
+        splits = [s["pattern"].get("Regex") for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
+        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        self.plain = splits == [PATTERN] and kinds == ["NFC", "Replace", "Lowercase"]
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+
+    def of(self, word: str) -> list[str] | None:
+        """None if a special token is in the word: it has to be encoded as it is."""
+        if "<" in word and any(s in word for s in self.specials):
+            return None
+        if self.plain and PLAIN.fullmatch(word):
+            found = PLAIN_PIECES.findall(word.lower())
+            return found if word.isascii() else [p.translate(PLAIN_BYTES) for p in found]
+        text = self.library.normalizer.normalize_str(word)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
 class WordIds:
     """Ids of words as little-endian 32-bit bytes, remembered up to a bound."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = KEPT_WORDS):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, path: str, piece_ids: Callable[[list[str]], bytes], most: int = KEPT_WORDS):
+        """``piece_ids`` gives the ids of a word's pieces."""
+        self.pieces, self.piece_ids, self.most, self.known = Pieces(path), piece_ids, most, {}
+
+    def encode(self, word: bytes) -> bytes:
+        text = word.decode()
+        pieces = self.pieces.of(text)
+        if pieces is None:
+            return np.array(self.pieces.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+        return self.piece_ids(pieces)
 
     def of(self, text: str) -> bytes:
         # Lone surrogates can't reach here from Arrow; bytes.split() knows ASCII's white space only.
@@ -56,8 +106,8 @@ class WordIds:
             if len(known) + len(missing) > self.most:
                 known.clear()
                 missing = set(words)
-            new = list(missing)
-            known.update(zip(new, self.encode(new)))
+            for w in missing:
+                known[w] = self.encode(w)
         return b"".join([known[w] for w in words])
 
 
@@ -72,6 +122,10 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         start = stop
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def id_lists(parts: list[bytes]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
