@@ -34,7 +34,7 @@ from textloom.plans.workdir import materialize, new_path, ship_package
 MAGIC = b"TLBITS01"
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 23
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 
 def bits_for(vocabulary_size: int) -> int:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 600_000       # words that a Python worker remembers before it starts anew
+KEPT_WORDS = 450_000       # words that a Python worker remembers before it starts anew
 CHUNK_BYTES = 4 << 20      # text that is encoded before its ids are handed on
 
 
