@@ -143,14 +143,15 @@ def _typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with raw bytes: some with binary prefixes, BOM, NUL or a stray last byte."""
+    """Files with raw bytes: some with binary prefixes, BOM, NUL or a stray last byte, or both."""
     kind = F.col("doc_id") % 8
     text = F.encode(F.col("content"), "UTF-8")
 
     def raw(value: bytes) -> Column:
         return F.lit(bytearray(value))
 
-    content = (F.when(kind == 1, F.concat(raw(b"\xef\xbb\xbf"), text))
+    content = (F.when(F.col("doc_id") % 16 == 10, F.concat(raw(b"\xef\xbb\xbf"), text, raw(b"\xff")))
+               .when(kind == 1, F.concat(raw(b"\xef\xbb\xbf"), text))
                .when(kind == 2, F.concat(text, raw(b"\xff")))
                .when(kind == 3, F.concat(raw(b"PK\x03\x04"), text))
                .when(kind == 4, F.concat(raw(b"%PDF-1.4"), text))
@@ -628,14 +629,14 @@ _CLASSIFY = f"""with {_TYPED}, f as (select *, {_FOLD_A} as x, {_FOLD_B} as y,
 
 _RAW = f"""{_FILES}, raw as (
     select *, doc_id % 8 as kind, lower(ext) in ('.txt', '.md', '.py', '.log') as named,
-           case doc_id % 8 when 1 then size + 3 when 2 then size + 1 when 3 then size + 4
+           case doc_id % 8 when 1 then size + 3 when 2 then size + case when doc_id % 16 = 10 then 4 else 1 end when 3 then size + 4
              when 4 then size + 8 when 5 then size + 1
              when 6 then size + length(content) - length(replace(content, chr(10), '')) else size end as bytes
     from files), typed as (
-    select *, named and kind not in (3, 4) and not (kind = 5 and size < 8192) as is_text,
-           case when kind = 1 then 'utf-8-sig' when kind = 2 and size < 8192 then 'latin-1'
+    select *, named and kind not in (3, 4, 5) as is_text,
+           case when kind = 1 or doc_id % 16 = 10 then 'utf-8-sig' when kind = 2 then 'latin-1'
                 else 'utf-8' end as encoding from raw), outcome as (
-    select *, case when not is_text then 'skipped' when kind = 2 and size >= 8192 then 'error'
+    select *, case when not is_text then 'skipped' when doc_id % 16 = 10 then 'error'
                    else 'ok' end as status from typed)"""
 _OUTCOMES = f"""{_RAW}, {_PREV.split(', prev as')[1].join(['prev as', ''])}, acts as (
     select coalesce(f.path, p.path) as path, status,
@@ -788,7 +789,7 @@ def oracle_sql() -> dict[str, str]:
             case when status = 'ok' and encoding <> 'latin-1'
                  then md5(replace(content, chr(13), chr(10)) || case when kind = 5 then chr(0) else '' end)
                  end as digest,
-            case when status = 'error' then 'Failed to read file: not valid utf-8' end as error,
+            case when status = 'error' then 'Failed to read file: not valid utf-8-sig' end as error,
             case when status = 'ok' then {_ISO} end as last_modified from outcome""",
         "q_path_like": """select url as path, left(html, 200) || case when length(left(html, 200)) = 200
             then '...' else '' end as snippet, 0.0::double as score, cast(page_id as varchar) as last_modified
@@ -835,7 +836,7 @@ def oracle_sql() -> dict[str, str]:
             from last where turn % 5 <> 3""",
         "q_refresh_tree": f"""with {_RAW} select path, bytes as size,
             case when status = 'ok' then encoding end as encoding,
-            case when status = 'error' then 'Failed to read file: not valid utf-8' end as error,
+            case when status = 'error' then 'Failed to read file: not valid utf-8-sig' end as error,
             case when status <> 'ok' then null when encoding = 'latin-1' then bytes
                  when kind = 5 then length(content) + 1 else length(content) end as n_chars
             from outcome where status <> 'skipped'""",

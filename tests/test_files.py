@@ -8,6 +8,7 @@ from textloom.functions import filetypes as ft
 from textloom.functions.paths import path_like, preview
 from textloom.functions.times import iso_time
 from textloom.operators.pathsearch import search_by_path
+from textloom.sources import files as files_module
 from textloom.sources.files import (
     check_scan_options, read_bytes, read_text, resolve_path, scan_corpus,
 )
@@ -75,12 +76,13 @@ def test_extension(spark):
     assert dict(rows.select("path", ft.extension("path")).collect()) == cases
 
 
-def expected_read(path):
+def expected_read(path, probe_bytes):
     """What plain file reading says: (status, encoding, text)."""
     data = path.read_bytes()
     if os.path.splitext(path.name)[1].lower() not in ft.TEXT_EXTENSIONS:
         return "skipped", None, None
-    if any(data[:8192].startswith(s) for s in ft.BINARY_SIGNATURES) or b"\0" in data[:8192]:
+    looked_at = data[:probe_bytes]
+    if any(data.startswith(s) for s in ft.BINARY_SIGNATURES) or b"\0" in looked_at:
         return "skipped", None, None
     encoding = "latin-1"
     if data[:3] == b"\xef\xbb\xbf":
@@ -88,7 +90,7 @@ def expected_read(path):
     else:
         try:
             with open(path, encoding="utf-8") as handle:
-                handle.read(1024)
+                handle.read(1024 if probe_bytes else -1)
             encoding = "utf-8"
         except UnicodeDecodeError:
             pass
@@ -99,7 +101,8 @@ def expected_read(path):
         return "error", None, None
 
 
-def test_reading_equals_plain_file_reading(spark, tmp_path):
+@pytest.mark.parametrize("probe_bytes", [None, 8192])
+def test_reading_equals_plain_file_reading(spark, tmp_path, probe_bytes):
     rng = random.Random(11)
     blobs = [
         b"", b"plain\r\nlines\rhere\n", "Hello 世界".encode(), b"\xef\xbb\xbfHello", b"\xef\xbb\xbf",
@@ -123,14 +126,33 @@ def test_reading_equals_plain_file_reading(spark, tmp_path):
     files = spark.createDataFrame(
         [(str(p), p.stat().st_size, p.stat().st_mtime) for p in paths],
         "path string, size long, mtime double")
-    rows = {r["path"]: r for r in read_text(read_bytes(files)).collect()}
+    rows = {r["path"]: r for r in read_text(read_bytes(files), probe_bytes=probe_bytes).collect()}
     for p in paths:
         row = rows[str(p)]
-        want = expected_read(p)
+        want = expected_read(p, probe_bytes)
         assert (row["status"], row["encoding"], row["content"]) == want, (p.name, p.read_bytes()[:20])
         assert (row["error"] is not None) == (want[0] == "error")
 
 
+def test_late_accent_and_late_nul(spark, tmp_path):
+    accent = write(tmp_path, "accent.txt", b"a" * 9000 + "é".encode("latin-1"))
+    nul = write(tmp_path, "nul.txt", b"a" * 8192 + b"\0")
+    files = spark.createDataFrame([(str(p), 1, 1.0) for p in (accent, nul)], "path string, size long, mtime double")
+    rows = {r["path"]: r for r in read_text(read_bytes(files)).collect()}
+    assert rows[str(accent)]["content"] == "a" * 9000 + "é" and rows[str(nul)]["status"] == "skipped"
+
+
+def test_a_directory_that_cannot_be_listed_fails_the_scan(monkeypatch):
+    def refuse(folder):
+        raise PermissionError(folder)
+
+    monkeypatch.setattr(os, "scandir", refuse)
+    with pytest.raises(PermissionError):
+        list(files_module._list_directory("/somewhere"))
+    monkeypatch.setattr(os, "scandir", lambda folder: (_ for _ in ()).throw(FileNotFoundError(folder)))
+    assert list(files_module._list_directory("/somewhere")) == []
+
+
 def test_missing_file_is_skipped(spark, tmp_path):
     files = spark.createDataFrame([(str(tmp_path / "gone.txt"), 1, 1.0)],
                                   "path string, size long, mtime double")
@@ -156,11 +178,11 @@ def test_resolve_path(tmp_path):
 
 def test_scan_options(tmp_path):
     good = str(tmp_path)
-    check_scan_options(good, str(tmp_path / "ix"), [".txt"], [], 100, 60)
+    check_scan_options(good, str(tmp_path / "ix"), [".txt"], [], 5000, 60)
     bad = [
         dict(source=good + "/none"), dict(source=str(write(tmp_path, "f.txt", "x"))),
         dict(source=good, index_dir=good), dict(source=good, interval_seconds=59),
-        dict(source=good, max_mb=0), dict(source=good, max_mb=101),
+        dict(source=good, max_mb=0), dict(source=good, max_mb=-1),
         dict(source=good, include=["txt"]), dict(source=good, exclude=["md"]),
     ]
     for options in bad:

@@ -80,10 +80,22 @@ def test_scores_after_refresh_equal_a_new_index(spark, source, tmp_path):
     assert scores(a) == scores(b) and len(scores(a)) == 2
 
 
+def test_files_above_a_cap_are_skipped_and_stay(spark, source, tmp_path):
+    ix = str(tmp_path / "ix")
+    assert counters(refresh(spark, str(source), ix, **OPTIONS))[0]
+    grown = put(source, "test1.txt", b"python " * 200_000)
+    again = refresh(spark, str(source), ix, max_mb=1)
+    assert counters(again) == (False, 0, 0, 0, 0, 1)
+    row = again.outcomes.where("status = 'skipped'").first()
+    assert row["path"] == grown and "size cap" in row["reason"]
+    assert found(again.index, "python") == {"test1.txt"}
+    assert counters(refresh(spark, str(source), ix)) == (True, 1, 0, 1, 0, 0)
+
+
 def test_errors_and_stale_content(spark, source, tmp_path):
     ix = str(tmp_path / "ix")
     binary = put(source, "binary.txt", b"\0\1\2")
-    broken = put(source, "broken.txt", b"a" * 9000 + b"\xff")
+    broken = put(source, "broken.txt", b"\xef\xbb\xbf" + b"a" * 9000 + b"\xff")
     first = refresh(spark, str(source), ix, **OPTIONS)
     assert counters(first) == (False, 3, 3, 0, 0, 2)
     assert {r["message"] for r in first.errors.collect()} == {
@@ -94,7 +106,7 @@ def test_errors_and_stale_content(spark, source, tmp_path):
     assert counters(refresh(spark, str(source), ix)) == (False, 0, 0, 0, 0, 1)
 
     # Content indexed before stays searchable when a file turns bad.
-    put(source, "test1.txt", b"b" * 9000 + b"\xff")
+    put(source, "test1.txt", b"\xef\xbb\xbf" + b"b" * 9000 + b"\xff")
     put(source, "test2.md", b"PK\3\4")
     second = refresh(spark, str(source), ix)
     assert counters(second) == (False, 0, 0, 0, 0, 3)

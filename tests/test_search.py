@@ -3,18 +3,27 @@ import random
 import pytest
 
 from textloom.operators import search as se
-from textloom.operators.batch import search_batch
+from textloom.operators.batch import rejected_queries, search_batch
 from textloom.operators.classify import classify_queries, classify_query
 from textloom.operators.corpus import DocumentCorpus
 from textloom.operators.snippets import snippets_for_query, with_batch_snippets
 from textloom.plans.index import build_index
 
-QUERIES = [
-    "tion", "the", "with an", "of the", '"of the"', "the-of", "prog*", "it's", "a.b@c.d", "The OF",
-    '"tion" OR "leaux"', '"tion" AND "the"', '"tion" NOT "the"', '"the" "of"', "^the", "^the of",
-    "the + of", "of_the", "and", "or with", "C++", "foo,bar", "what?", "a;b", '"', '""', '"---"', "   ", "",
-    "the the", "zzzzqq", "élan", "leaux élle", "an AND with", '"the" + "of"', "→ tion", "tions",
-]
+# What a user types, and the match expression that it stands for; None: nothing is asked.
+MATCH = {
+    "tion": "tion", "the": "the", "with an": "with an", "of the": "of the", '"of the"': '"of the"',
+    "the-of": '"the-of"', "prog*": '"prog*"', "it's": '"it\'s"', "a.b@c.d": '"a.b@c.d"', "The OF": "The OF",
+    '"tion" OR "leaux"': '"tion" OR "leaux"', '"tion" AND "the"': '"tion" AND "the"',
+    '"tion" NOT "the"': '"tion" NOT "the"', '"the" "of"': '"the" "of"', "^the": "^the", "^the of": "^the of",
+    "the + of": "the + of", "of_the": "of_the", "and": "and", "or with": "or with", "C++": "C++",
+    "foo,bar": "foo,bar", "what?": "what?", "a;b": "a;b", '"': '"', '""': '""', '"---"': '"---"', "   ": None,
+    "": None, "the the": "the the", "zzzzqq": "zzzzqq", "élan": "élan", "leaux élle": "leaux élle",
+    "an AND with": '"an AND with"', '"the" + "of"': '"the" + "of"', "→ tion": "→ tion", "tions": "tions",
+    '"the" ; "of"': '"the" ; "of"', '"the" OR OR "of"': '"the" OR OR "of"', '"the" , "of"': '"the" , "of"',
+    '"the" || "of"': '"the" || "of"', '"content" : "tion"': '"content" : "tion"',
+    '"Content":"tion" "the"': '"Content":"tion" "the"', '"other" : "tion"': '"other" : "tion"',
+}
+QUERIES = list(MATCH)
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +41,7 @@ def as_dict(results):
 @pytest.mark.parametrize("query", QUERIES)
 def test_typed_query_equals_full_text_engine(corpora, fulltext, kind, query):
     got = as_dict(se.search(corpora[kind], query, k=-1))
-    want = {i: s for i, (s, _) in fulltext.search(query).items()}
+    want = {i: s for i, (s, _) in fulltext.search(MATCH[query]).items()}
     assert got.keys() == want.keys()
     for doc_id, score in want.items():
         assert got[doc_id] == pytest.approx(score, rel=1e-9, abs=1e-12)
@@ -52,7 +61,7 @@ def test_operators_equal_full_text_engine(corpora, fulltext, kind):
          '"tion" NOT "of the" NOT "with"'),
     ]
     for results, match in cases:
-        got, want = as_dict(results), fulltext.search(match, raw=False)
+        got, want = as_dict(results), fulltext.search(match)
         assert got.keys() == want.keys(), match
         for doc_id, (score, _) in want.items():
             assert got[doc_id] == pytest.approx(score, rel=1e-9, abs=1e-12), match
@@ -86,6 +95,9 @@ def test_complex_queries_are_refused(corpora):
 
 def test_batch_equals_single_queries(spark, corpora):
     typed = [*QUERIES, '"the" OR "of"', '"with" NOT "tion"', "with"]
+    hard = spark.createDataFrame([(1, '"a" OR "b" AND "c"'), (2, '"a" ; "b"'), (3, "tion")], "query_id int, query string")
+    assert {r["query_id"] for r in search_batch(corpora["index"], hard, k=4).collect()} == {3}
+    assert {r["query_id"]: r["mode"] for r in rejected_queries(hard).collect()} == {1: "complex", 2: "invalid"}
     table = spark.createDataFrame(list(enumerate(typed)) + [(999, None)], "query_id int, query string")
     for kind, checked in (("documents", typed[:3]), ("index", typed)):
         corpus, got = corpora[kind], {}

@@ -39,9 +39,8 @@ BINARY_SIGNATURES = (
     b"%PDF",
 )
 
-# Bytes looked at for type and encoding, characters the encoding
-# probe asks for, and the default extensions of a scan.
-PROBE_BYTES = 8192
+# Characters the encoding probe asks for, and the default extensions
+# of a scan.
 PROBE_CHARS = 1024
 DEFAULT_EXTENSIONS = (".txt", ".md", ".rst")
 
@@ -74,7 +73,10 @@ def has_extension(ext: Column | str, included: Iterable[str] = (),
     return keep & ~ext.isin(*excluded) if excluded else keep
 
 
-def within_size(size: Column | str, max_mb: float) -> Column:
+def within_size(size: Column | str, max_mb: float | None = None) -> Column:
+    """Whether a file is no larger than a cap; without a cap all are."""
+    if max_mb is None:
+        return F.lit(True)
     return _col(size) <= F.lit(int(max_mb * 1024 * 1024))
 
 
@@ -88,29 +90,38 @@ def has_binary_signature(content: Column | str) -> Column:
                   [F.startswith(content, _bytes(s)) for s in BINARY_SIGNATURES])
 
 
-def has_nul(content: Column | str) -> Column:
-    return F.contains(F.substring(_col(content), 1, PROBE_BYTES), _bytes(b"\x00"))
+def has_nul(content: Column | str, probe_bytes: int | None = None) -> Column:
+    """Whether there is a NUL in the content, or in its first ``probe_bytes``."""
+    content = _col(content)
+    looked_at = content if probe_bytes is None else F.substring(content, 1, probe_bytes)
+    return F.contains(looked_at, _bytes(b"\x00"))
 
 
-def is_text(ext: Column | str, content: Column | str | None = None) -> Column:
+def is_text(ext: Column | str, content: Column | str | None = None,
+            probe_bytes: int | None = None) -> Column:
     """Known text extension and, when content is given, no sign of binary data."""
     if content is None:
         return has_text_extension(ext)
-    return has_text_extension(ext) & ~has_binary_signature(content) & ~has_nul(content)
+    return has_text_extension(ext) & ~has_binary_signature(content) & ~has_nul(content, probe_bytes)
 
 
 def _valid_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
-def detect_encoding(content: Column | str) -> Column:
-    """``utf-8-sig``, ``utf-8`` or ``latin-1``, judged by the first 8 KiB.
+def detect_encoding(content: Column | str, probe_bytes: int | None = None) -> Column:
+    """``utf-8-sig``, ``utf-8`` or ``latin-1``, judged by the whole content.
 
-    A multi-byte sequence cut by the end of the probe is accepted when the file
-    goes on after the probe, or when the probe already gave enough characters.
+    With ``probe_bytes`` (8192 is usual) only so many bytes are looked at. A
+    multi-byte sequence cut by their end is then accepted when the file goes
+    on after them, or when they already gave enough characters.
     """
     content = _col(content)
-    probe = F.substring(content, 1, PROBE_BYTES)
+    with_bom = F.startswith(content, _bytes(_BOM))
+    if probe_bytes is None:
+        return (F.when(with_bom, "utf-8-sig").when(_valid_utf8(content), "utf-8")
+                .otherwise("latin-1"))
+    probe = F.substring(content, 1, probe_bytes)
     completed = reduce(lambda a, b: a | b,
                        [_valid_utf8(F.concat(probe, _bytes(t))) for t in _COMPLETIONS])
     # Half of a surrogate pair is no valid text, yet it is only rejected when complete.
@@ -120,8 +131,8 @@ def detect_encoding(content: Column | str) -> Column:
     completed = completed | half_surrogate
     # The cut tail counts as one character here, and a line end always as one.
     chars = F.length(F.regexp_replace(probe.cast("string"), "\r\n", "\n")) - 1
-    may_be_cut = (F.octet_length(content) > PROBE_BYTES) | (chars >= PROBE_CHARS)
-    return (F.when(F.startswith(content, _bytes(_BOM)), "utf-8-sig")
+    may_be_cut = (F.octet_length(content) > probe_bytes) | (chars >= PROBE_CHARS)
+    return (F.when(with_bom, "utf-8-sig")
             .when(_valid_utf8(probe) | (completed & may_be_cut), "utf-8")
             .otherwise("latin-1"))
 

@@ -15,9 +15,7 @@ from .corpus import Corpus
 def _query_units(corpus: Corpus, queries: DataFrame, id_col: str, query_col: str) -> DataFrame:
     """``query_id, mode, item_no, unit_id, terms, first, required``, a row per unit."""
     parsed = stemmed_items(classify_queries(queries, query_col), corpus.stem)
-    refused = F.concat(F.lit("combine this query from the search operators: "), F.col(query_col))
-    mode = F.when(F.col("mode") == "complex", F.raise_error(refused)).otherwise(F.col("mode"))
-    rows = parsed.select(F.col(id_col).alias("query_id"), mode.alias("mode"), "items")
+    rows = parsed.select(F.col(id_col).alias("query_id"), "mode", "items")
     # Queries that match nothing have no items. The array is not exploded as a
     # plain column, as Spark would then add a filter on its size and push the
     # whole classification into it, to be evaluated twice.
@@ -28,6 +26,14 @@ def _query_units(corpus: Corpus, queries: DataFrame, id_col: str, query_col: str
                        "item.terms", "item.first", "item.required")
 
 
+def rejected_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
+    """The rows that a batch search gives no results for, with ``mode``.
+
+    ``invalid``: malformed. ``complex``: to be combined from the search operators.
+    """
+    return classify_queries(queries, query_col).where("mode in ('invalid', 'complex')").drop("items")
+
+
 def _unit_hits(corpus: Corpus, units: DataFrame) -> DataFrame:
     """``unit_id, doc_id, doc_len, tf`` for every distinct unit of all queries."""
     distinct = units.select("unit_id", "terms", "first").dropDuplicates(["unit_id"])

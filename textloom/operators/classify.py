@@ -28,6 +28,12 @@ WORD_CHARS = r"A-Za-z0-9_\x1a\x{80}-\x{10ffff}"
 BLANKS = r" \t\n\r"
 
 _QUOTED = r'"(?:[^"]|"")*"'
+# A filter on the one column there is, before the rest of a quoted query.
+_COLUMN = rf'^"(?i:content)"[{BLANKS}]*:[{BLANKS}]*'
+# Outlines that no grammar of the full-text engine allows: another character, two
+# operators in a row, a comma or brace outside of its construct, another column.
+_MALFORMED = (r"[^Q A-Za-z0-9_\x1a\x{80}-\x{10ffff}()+:^*{}\-,]",
+              r"(AND|OR|NOT|\+) ?(AND|OR|NOT|\+)( |$)", r"^[^(]*,", r"Q :", r"^[^(]*\)")
 
 
 @dataclass(frozen=True)
@@ -84,9 +90,10 @@ def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     Terms are folded, not stemmed. Modes: ``empty`` (nothing can match),
     ``invalid`` (malformed: no rows, no error), ``all``, ``any``, ``not``, and
     ``complex`` for quoted queries that mix operators or use parentheses; those
-    are to be written with the search operators instead.
+    are to be written with the search operators instead. ``"content" : `` before a
+    quoted query names the only column and changes nothing.
     """
-    query = _col(query_col)
+    query = F.regexp_replace(_col(query_col), _COLUMN, "")
     blank = query.isNull() | ~F.rlike(query, F.lit(r"(?U)[^\s\x1c-\x1f]"))
     quoted = F.startswith(query, F.lit('"')) & F.endswith(query, F.lit('"'))
     special = F.rlike(query, F.lit(SPECIAL_PATTERN))
@@ -110,7 +117,10 @@ def classify_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     out = out.withColumn("_items", F.transform(
         "_parts", lambda p: _item(tokenize(p["text"]), p)))
 
-    quoted_mode = (F.when(F.contains(outline_col, F.lit('"')), "invalid")
+    malformed = F.contains(outline_col, F.lit('"'))
+    for pattern in _MALFORMED:
+        malformed |= F.rlike(outline_col, F.lit(pattern))
+    quoted_mode = (F.when(malformed, "invalid")
                    .when(F.rlike(outline_col, F.lit(r"^Q( Q)*$")), "all")
                    .when(F.rlike(outline_col, F.lit(r"^Q( \+ Q)+$")), "all")
                    .when(F.rlike(outline_col, F.lit(r"^Q( AND Q)+$")), "and")
@@ -155,7 +165,8 @@ def stemmed_items(classified: DataFrame, stem: bool) -> DataFrame:
 
 def _outline_mode(outline: str) -> str:
     """Mode of a quoted query whose strings are written as Q."""
-    if '"' in outline:
+    if '"' in outline or any(re.search(p.replace("\\x{80}-\\x{10ffff}", "\x80-\U0010ffff"), outline)
+                             for p in _MALFORMED):
         return "invalid"
     for pattern, mode in ((r"Q( Q)*", "all"), (r"Q( \+ Q)+", "all"), (r"Q( AND Q)+", "and"),
                           (r"Q( OR Q)+", "any"), (r"Q( NOT Q)+", "not")):
@@ -166,6 +177,7 @@ def _outline_mode(outline: str) -> str:
 
 def _parts(query: str) -> tuple[str, list[tuple[str, bool, bool]]]:
     """Mode of a query that is not blank, and (text, first, required) of its units."""
+    query = re.sub(_COLUMN, "", query)
     if query.startswith('"') and query.endswith('"'):
         strings = re.findall(_QUOTED, query)
         outline = re.sub(rf"[{BLANKS}]+", " ", re.sub(_QUOTED, " Q ", query)).strip(" ")

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filetypes import DEFAULT_EXTENSIONS
+from ..functions.filetypes import DEFAULT_EXTENSIONS, within_size
 from ..operators.changes import refresh_errors, refresh_summary
 from ..sources.files import (
     binary_files, check_scan_options, read_bytes, read_text, resolve_path, scan_corpus,
@@ -29,9 +29,20 @@ class RefreshReport:
 
 
 def _run(spark: SparkSession, location: str, raw: DataFrame, actions: DataFrame,
-         run_time: float, started: float, options: dict) -> RefreshReport:
-    """Decode the files to process, store what came of them, and count."""
-    read = materialize(read_text(raw), "read")
+         run_time: float, started: float, options: dict,
+         too_large: DataFrame | None = None) -> RefreshReport:
+    """Decode the files to process, store what came of them, and count.
+
+    Files in ``too_large`` are skipped with a reason; what is stored of them stays.
+    """
+    read = read_text(raw)
+    if too_large is not None:
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("encoding", "content")]
+        read = read.unionByName(too_large.select(
+            "path", "size", "mtime", F.lit("skipped").alias("status"), *nothing,
+            F.concat(F.lit("Larger than the size cap: "), "size", F.lit(" bytes")).alias("error"),
+            F.lit(None).cast("string").alias("last_modified")))
+    read = materialize(read, "read")
     removed = actions.where("action = 'removed'").select(
         "path", F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("mtime"),
         F.lit("deleted").alias("status"), *[F.lit(None).cast("string").alias(c) for c in
@@ -40,19 +51,21 @@ def _run(spark: SparkSession, location: str, raw: DataFrame, actions: DataFrame,
     index = open_index(spark, location)
     if index is None or not changes.isEmpty():
         index = apply_changes(spark, location, changes, run_time, **options)
-    outcomes = actions.join(read.select("path", "status"), "path", "left")
+    outcomes = actions.join(read.select("path", "status", F.col("error").alias("reason")),
+                            "path", "left")
     return RefreshReport(outcomes, time.time() - started, index)
 
 
 def refresh(spark: SparkSession, source: str, location: str, force: bool = False,
             include: Iterable[str] = DEFAULT_EXTENSIONS, exclude: Iterable[str] = (),
-            max_mb: float = 10, run_time: float | None = None, reader: str = "tree",
+            max_mb: float | None = None, run_time: float | None = None, reader: str = "tree",
             **options) -> RefreshReport:
     """Bring the index up to date with a directory tree.
 
     Lists the tree, compares it with the stored snapshot, reads the new and the
     changed files and drops what is gone. Binary files are skipped and counted
     as errors each time; an older version of them stays until the path is gone.
+    So are files above ``max_mb``, if a cap is given; ``outcomes`` says why.
     With ``reader="binaryFile"`` the source may be any URI that Spark can read;
     the scan then passes over the bytes of unchanged files too.
     ``options`` (stem, doc_buckets, term_buckets) matter for a first run.
@@ -62,15 +75,18 @@ def refresh(spark: SparkSession, source: str, location: str, force: bool = False
         check_scan_options(source, location, include, exclude, max_mb)
         source = os.path.realpath(source)
     files = materialize(
-        scan_corpus(spark, source, location, include, exclude, max_mb, reader), "listing")
+        scan_corpus(spark, source, location, include, exclude, reader=reader), "listing")
     actions = materialize(plan_refresh(open_index(spark, location), files, force), "actions")
-    wanted = actions.where("action in ('added', 'updated')").select("path")
+    listed = files.join(actions.where("action in ('added', 'updated')").select("path"),
+                        "path", "left_semi").select("path", "size", "mtime")
+    wanted = listed.where(within_size("size", max_mb))
+    too_large = None if max_mb is None else listed.where(~within_size("size", max_mb))
     if reader == "tree":
-        raw = read_bytes(files.join(wanted, "path", "left_semi").select("path", "size", "mtime"))
+        raw = read_bytes(wanted)
     else:
-        raw = binary_files(spark, source).join(wanted, "path", "left_semi")
+        raw = binary_files(spark, source).join(wanted.select("path"), "path", "left_semi")
     return _run(spark, location, raw, actions,
-                started if run_time is None else run_time, started, options)
+                started if run_time is None else run_time, started, options, too_large)
 
 
 def refresh_file(spark: SparkSession, source: str, location: str, filepath: str,

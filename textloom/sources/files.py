@@ -29,7 +29,7 @@ LISTING_SCHEMA = "path string, size long, mtime double"
 _LISTING_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64())])
 _BATCH_ROWS = 4096
 _BATCH_BYTES = 32 << 20
-_LIST_TASKS = 256
+_FOLDERS_PER_TASK = 64
 
 
 class TreeReader(DataSourceReader):
@@ -39,12 +39,12 @@ class TreeReader(DataSourceReader):
 
     def partitions(self):
         found = []
-        for folder, subfolders, _ in os.walk(self.root):
+        for folder, subfolders, _ in os.walk(self.root, onerror=_not_gone):
             if os.path.realpath(folder) in self.skipped:
                 subfolders.clear()
                 continue
             found.append(folder)
-        tasks = min(_LIST_TASKS, len(found)) or 1
+        tasks = -(-len(found) // _FOLDERS_PER_TASK) or 1
         return [InputPartition(tuple(found[i::tasks])) for i in range(tasks)]
 
     def read(self, partition):
@@ -58,10 +58,18 @@ class TreeReader(DataSourceReader):
         yield _listing_batch(rows)
 
 
+def _not_gone(error: OSError) -> None:
+    """A directory that can't be listed fails the scan: its files would count as deleted."""
+    if not isinstance(error, FileNotFoundError):
+        raise error
+
+
 def _list_directory(folder: str) -> Iterator[tuple[str, int, float]]:
+    """The files of a directory; one that is gone since planning has none."""
     try:
         entries = os.scandir(folder)
-    except OSError:
+    except OSError as error:
+        _not_gone(error)
         return
     with entries:
         for entry in entries:
@@ -69,7 +77,7 @@ def _list_directory(folder: str) -> Iterator[tuple[str, int, float]]:
                 continue
             try:
                 stat = entry.stat()
-            except OSError:
+            except FileNotFoundError:  # gone meanwhile, or a link to nothing
                 continue
             yield os.path.join(folder, entry.name), stat.st_size, stat.st_mtime
 
@@ -95,22 +103,20 @@ class TreeSource(DataSource):
 
 
 def check_scan_options(source: str, index_dir: str | None = None, include: Iterable[str] = (),
-                       exclude: Iterable[str] = (), max_mb: float = 10,
+                       exclude: Iterable[str] = (), max_mb: float | None = None,
                        interval_seconds: float = 300) -> None:
-    """Argument checks; raises ValueError."""
-    if not os.path.exists(source):
-        raise ValueError(f"Source directory does not exist: {source}")
-    if not os.path.isdir(source):
-        raise ValueError(f"Source path is not a directory: {source}")
-    if index_dir and os.path.realpath(source) == os.path.realpath(index_dir):
-        raise ValueError("Source and index directories cannot be the same")
+    """Raises one ValueError that names everything wrong with the arguments."""
+    wrong = [f"extension {e!r} has no leading dot" for e in (*include, *exclude) if e[:1] != "."]
+    if max_mb is not None and max_mb <= 0:
+        wrong.append(f"a size cap of {max_mb} MB lets nothing pass; leave it out for no cap")
     if interval_seconds < 60:
-        raise ValueError("Scan interval must be at least 60 seconds")
-    if not 0 < max_mb <= 100:
-        raise ValueError("Max file size must be between 0 and 100 MB")
-    for ext in [*include, *exclude]:
-        if not ext.startswith("."):
-            raise ValueError(f"Extensions must start with '.': {ext}")
+        wrong.append(f"rescans every {interval_seconds} s, less than a minute apart")
+    if not os.path.isdir(source):
+        wrong.append(f"{source} is no directory to scan")
+    elif index_dir and os.path.exists(index_dir) and os.path.samefile(source, index_dir):
+        wrong.append(f"the index would be written into the scanned directory {source}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
 
 
 def resolve_path(source: str, filepath: str) -> str:
@@ -140,8 +146,8 @@ def binary_files(spark: SparkSession, source: str) -> DataFrame:
 
 
 def filter_files(files: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = (),
-                 max_mb: float = 10, index_dir: str | None = None) -> DataFrame:
-    """Extension, size and location filters; adds ``ext``."""
+                 max_mb: float | None = None, index_dir: str | None = None) -> DataFrame:
+    """Extension, size and location filters; adds ``ext``. There is no cap by default."""
     files = files.withColumn("ext", ft.extension("path"))
     keep = ft.has_extension("ext", tuple(include), tuple(exclude)) & ft.within_size("size", max_mb)
     if index_dir:
@@ -151,7 +157,7 @@ def filter_files(files: DataFrame, include: Iterable[str] = (), exclude: Iterabl
 
 def scan_corpus(spark: SparkSession, source: str, index_dir: str | None = None,
                 include: Iterable[str] = ft.DEFAULT_EXTENSIONS, exclude: Iterable[str] = (),
-                max_mb: float = 10, reader: str = "tree") -> DataFrame:
+                max_mb: float | None = None, reader: str = "tree") -> DataFrame:
     """The files to index: ``path, ext, size, mtime``. No content is read."""
     if reader == "tree":
         files = list_tree(spark, source, index_dir)
@@ -193,17 +199,19 @@ def read_bytes(files: DataFrame) -> DataFrame:
     return files.repartition("path").mapInArrow(_read_batches, schema)
 
 
-def read_text(files: DataFrame, check_content: bool = True) -> DataFrame:
+def read_text(files: DataFrame, check_content: bool = True,
+              probe_bytes: int | None = None) -> DataFrame:
     """Decode raw files: ``path, size, mtime, status, encoding, content, error, last_modified``.
 
     ``status`` is ``ok``, ``error`` (text that does not decode; content is NULL)
-    or ``skipped`` (binary, unreadable, or not a text extension).
+    or ``skipped`` (binary, unreadable, or not a text extension). The whole content
+    is judged unless ``probe_bytes`` says how much of it.
     """
     raw = F.col("content")
     text_file = F.coalesce(
-        ft.is_text(ft.extension("path"), raw if check_content else None), F.lit(False))
+        ft.is_text(ft.extension("path"), raw if check_content else None, probe_bytes), F.lit(False))
     found = (files.withColumn("text_file", text_file & raw.isNotNull())
-             .withColumn("encoding", F.when(F.col("text_file"), ft.detect_encoding("content")))
+             .withColumn("encoding", F.when(F.col("text_file"), ft.detect_encoding("content", probe_bytes)))
              .withColumn("text", F.when(F.col("text_file"), ft.decode_text("content", "encoding"))))
     status = (F.when(~F.col("text_file"), "skipped")
               .when(F.col("text").isNull(), "error").otherwise("ok"))
