@@ -85,23 +85,25 @@ class Model:
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of offending sentences."""
         low = lower(text)
-        known, weight, hits = self.known, self.weight, {}
-        for w in set(low.split()):
-            x = known[w] if w in known else weight(w)
-            if x:
-                hits[w] = x
-        plain, clean, offending = len(SPOKEN.findall(low)), 0.0, []
+        known, weight = self.known, self.weight
+        # Most texts have no word of weight: their sentences are only counted.
+        hits = any([known[w] if w in known else weight(w) for w in set(low.split())])
+        plain, clean, offending, best = len(SPOKEN.findall(low)), 0.0, [], None
         for m in SENTENCE.finditer(low) if hits else ():
-            z = sum([hits[w] for w in set(m.group().split()) if w in hits])
+            z = sum([known[w] if w in known else weight(w) for w in set(m.group().split())])
             if not z:
                 continue
             plain -= 1
             z += self.bias
             clean -= math.log1p(math.exp(-abs(z))) + max(z, 0.0)
-            if z > -0.8472979:  # logit of OFFENDING
-                offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
+            found = (m.start(), m.end(), 1 / (1 + math.exp(-z)))
+            if found[2] >= OFFENDING:
+                offending.append(found)
+            best = max(best or found, found, key=lambda f: f[2])
         clean -= plain * math.log1p(math.exp(self.bias))
-        return -math.expm1(clean), offending
+        whole = -math.expm1(clean)
+        # Several doubtful sentences make a bad document: the likeliest stands for them.
+        return whole, [best] if best and not offending and whole >= OFFENDING else offending
 
 
 def chosen_features(bags: list[list[set[str]]], toxic: list[int], most: int = FEATURES) -> list[str]:
