@@ -228,6 +228,24 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("size", [40, neardup.SKETCH, 3 * neardup.SKETCH])
+def test_sketches_lose_no_link(size):
+    draw = np.random.default_rng(size)
+    refused = 0
+    for _ in range(200):
+        other = draw.integers(0, size // 3)
+        h = np.unique(draw.integers(0, 1 << 63, size + other, dtype=np.uint64) << np.uint64(1))
+        gone = draw.permutation(len(h))
+        p, q = np.sort(h[gone[:size]]), np.sort(h[gone[other:]])
+        both = len(np.intersect1d(p, q))
+        link = 100 * both >= 75 * (len(p) + len(q) - both)
+        cut = [(x[:neardup.SKETCH] >> np.uint64(32)).astype("<u4") for x in (p, q)]
+        maybe = neardup.may_link(*cut, max(len(p), len(q)) <= neardup.SKETCH)
+        assert maybe or not link
+        refused += not maybe
+    assert refused > 10
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = neardup.near_duplicates(odd).collect()
