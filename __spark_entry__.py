@@ -21,6 +21,7 @@ from textloom.operators.pathsearch import search_by_path
 from textloom.operators.snippets import snippets_for_query, with_batch_snippets
 from textloom.plans.index import Index, apply_changes, build_index, open_index
 from textloom.plans.refresh import refresh
+from textloom.plans.results import search_results
 from textloom.plans.workdir import materialize, new_path, ship_package
 from textloom.sources.files import filter_files, read_text, write_tree
 from textloom.sources.tables import read_table
@@ -245,7 +246,19 @@ def q_snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(snippets_for_query(corpus, best, docs, "tion with"))
 
 
-def q_batch_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search of a stored index shows: path, snippet, score, last_modified."""
+    return _rounded(search_results(_index(spark, sf_dir, True), "tion with", k=20))
+
+
+def q_stored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a stored index; its size in bytes depends on the writer, so only its sign is shown."""
+    return _index(spark, sf_dir, True).stats().select(
+        "indexed_files", "last_scan", "total_documents", "errors_encountered",
+        (F.col("index_size_mb") > 0).alias("has_size"))
+
+
+def q_batch_snippets(spark:SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries_ = _stored(spark, sf_dir, True), _word_queries(spark, sf_dir)
     best = search_batch(corpus, queries_, k=3)
     return _rounded(with_batch_snippets(corpus, best, queries_, _table(spark, sf_dir, "documents")))
@@ -373,17 +386,20 @@ def q_apply_refresh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a change feed, streamed into an index."""
-    feed_dir, location = new_path(spark, "feed"), new_path(spark, "index")
+    feed_dir, location, offsets = (new_path(spark, n) for n in ("feed", "index", "offsets"))
     last = F.col("turn") % 5 == 3
-    _table(spark, sf_dir, "conversations").select(
+    rows = _table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("path"),
         F.when(last, "delete").otherwise("upsert").alias("op"),
-        F.col("text").alias("content"), F.col("turn").cast("double").alias("mtime")
-    ).write.parquet(feed_dir)
-    feed = spark.readStream.schema("path string, op string, content string, mtime double").parquet(
-        feed_dir)
-    stream_index(feed, location, new_path(spark, "offsets"), stem=False, doc_buckets=4,
-                 term_buckets=2).awaitTermination()
+        F.col("text").alias("content"), F.col("turn").cast("double").alias("mtime"))
+    # Two micro-batches, each with turns that are older than some of the other.
+    half = F.pmod(F.xxhash64("path", "mtime"), F.lit(2))
+    for number in (0, 1):
+        rows.where(half == number).write.mode("append").parquet(feed_dir)
+        feed = spark.readStream.schema("path string, op string, content string, mtime double").parquet(
+            feed_dir)
+        stream_index(feed, location, offsets, stem=False, doc_buckets=4,
+                     term_buckets=2).awaitTermination()
     index = open_index(spark, location)
     return index.documents().select("path", F.md5("content").alias("digest"), "last_modified")
 
@@ -427,6 +443,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_search_stemmed": partial(q_search_stemmed, _stored),
         "q_search_stemmed_documents": partial(q_search_stemmed, _scan),
         "q_snippet_topk": q_snippet_topk,
+        "q_search_results": q_search_results,
+        "q_stored_stats": q_stored_stats,
         "q_batch_snippets": q_batch_snippets,
         "q_report": q_report,
         "q_classify_queries": q_classify_queries,
@@ -765,6 +783,10 @@ def oracle_sql() -> dict[str, str]:
         "q_search_stemmed": _SEARCH_STEMMED,
         "q_search_stemmed_documents": _SEARCH_STEMMED,
         "q_snippet_topk": _SNIPPETS,
+        "q_search_results": f"""select cast(doc_id as varchar) as path, snippet, score,
+            '1970-01-01T00:00:00' as last_modified from ({_SNIPPETS})""",
+        "q_stored_stats": """select count(*) as indexed_files, '1970-01-01T00:00:00' as last_scan,
+            count(*) as total_documents, 0 as errors_encountered, true as has_size from documents""",
         "q_doc_lengths": f"with {_DOCS} select doc_id, cast(len(t) as integer) as doc_len from d",
         "q_corpus_stats": f"""with {_DOCS} select count(*) as n_docs,
             cast(sum(len(t)) as bigint) as total_len from d""",

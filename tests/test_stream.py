@@ -25,7 +25,27 @@ def test_feed_in_batches(spark, tmp_path):
         "/a": "third version", "/b": "other words", "/e": ""}
     assert (index.n_docs, index.total_len) == (3, 4)
     assert se.search(index.corpus(), "version", k=-1).count() == 1
-    assert index.stream == offsets and index.batch_id == 1
+    assert index.streams == {offsets: 1}
+    index = push([("/a", "upsert", "late and old", 4.0), ("/c", "upsert", "before its deletion", 4.0),
+                  ("/b", "delete", None, 0.5), ("/e", "upsert", "newer", 6.0)])
+    assert {r["path"]: r["content"] for r in index.documents().collect()} == {
+        "/a": "third version", "/b": "other words", "/e": "newer"}
+    index = push([("/c", "upsert", "back again", 6.0), ("/d", "upsert", "same time as its deletion", 1.0)])
+    assert {r["path"]: r["content"] for r in index.documents().collect()} == {
+        "/a": "third version", "/b": "other words", "/c": "back again", "/e": "newer"}
+
+
+def test_two_feeds_keep_their_batches(spark, tmp_path):
+    ix = str(tmp_path / "ix")
+    for name, text in (("one", "from one"), ("two", "from two"), ("one", "one again")):
+        feed = str(tmp_path / name)
+        spark.createDataFrame([(f"/{name}", "upsert", text, 1.0)], FEED_SCHEMA).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(FEED_SCHEMA).parquet(feed)
+        stream_index(stream, ix, feed + "-offsets", doc_buckets=1, term_buckets=1).awaitTermination()
+    index = open_index(spark, ix)
+    assert index.streams == {str(tmp_path / "one-offsets"): 1, str(tmp_path / "two-offsets"): 0}
+    assert {r["path"]: r["content"] for r in index.documents().collect()} == {
+        "/one": "one again", "/two": "from two"}
 
 
 def test_rescan(spark, tmp_path):

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
+    ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField,
     StructType,
 )
 
@@ -32,6 +32,7 @@ from ..functions.times import iso_time
 from ..operators import postings as ops
 from ..operators.changes import classify_changes
 from ..operators.corpus import PostingsCorpus
+from ..operators.stats import index_stats
 
 DOC_BUCKETS = 16
 TERM_BUCKETS = 16
@@ -56,8 +57,7 @@ MANIFEST_SCHEMA = StructType([
     StructField("n_files", LongType()), StructField("n_docs", LongType()),
     StructField("total_len", LongType()), StructField("max_doc_id", LongType()),
     StructField("doc_buckets", IntegerType()), StructField("term_buckets", IntegerType()),
-    StructField("stem", BooleanType()), StructField("stream", StringType()),
-    StructField("batch_id", LongType()),
+    StructField("stem", BooleanType()), StructField("streams", MapType(StringType(), LongType())),
     StructField("generation", IntegerType()),
 ])
 _FILE_COLUMNS = [f.name for f in FILES_SCHEMA if f.name not in ("generation", "doc_bucket")]
@@ -97,8 +97,7 @@ class Index:
     doc_buckets: int
     term_buckets: int
     stem: bool
-    stream: str | None
-    batch_id: int | None
+    streams: dict[str, int]    # the last micro-batch applied of each stream
     buckets: dict[int, Bucket]
 
     @property
@@ -113,24 +112,26 @@ class Index:
     def next_doc_id(self) -> int:
         return max((b.max_doc_id for b in self.buckets.values()), default=-1) + 1
 
-    def _read(self, table: str, schema: StructType, numbers: Iterable[int]) -> DataFrame:
-        root = f"{self.location}/{table}"
-        parts = [f"{root}/generation={self.buckets[n].data_generation}/doc_bucket={n}"
-                 for n in numbers]
+    def _parts(self, table: str, buckets: Iterable[int] | None = None) -> list[str]:
+        """Folders of the live generation of each bucket that has rows in the table."""
+        chosen = sorted(self.buckets if buckets is None else self.buckets.keys() & set(buckets))
+        held = [(n, self.buckets[n]) for n in chosen]
+        return [f"{self.location}/{table}/generation={b.data_generation}/doc_bucket={n}"
+                for n, b in held if (b.n_files if table == "files" else b.total_len)]
+
+    def _read(self, table: str, schema: StructType, buckets: Iterable[int] | None) -> DataFrame:
+        parts = self._parts(table, buckets)
         if not parts:
             return self.spark.createDataFrame([], schema)
+        root = f"{self.location}/{table}"
         return self.spark.read.schema(schema).option("basePath", root).parquet(*parts)
 
     def files(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """Every known file: metadata, and content if it could be read once."""
-        chosen = self.buckets if buckets is None else buckets
-        return self._read("files", FILES_SCHEMA, sorted(
-            n for n in chosen if n in self.buckets and self.buckets[n].n_files))
+        return self._read("files", FILES_SCHEMA, buckets)
 
     def postings(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        chosen = self.buckets if buckets is None else buckets
-        return self._read("postings", POSTINGS_SCHEMA, sorted(
-            n for n in chosen if n in self.buckets and self.buckets[n].total_len))
+        return self._read("postings", POSTINGS_SCHEMA, buckets)
 
     def documents(self) -> DataFrame:
         return self.files().where(F.col("content").isNotNull()).select(
@@ -148,11 +149,17 @@ class Index:
         return PostingsCorpus(self.postings(), self.n_docs, self.total_len, self.stem, in_bucket)
 
     def size_bytes(self) -> int:
-        """Bytes of all data files, older generations included."""
-        listing = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                   .load([f"{self.location}/files", f"{self.location}/postings"]))
+        """Bytes of the data files that this generation reads."""
+        parts = self._parts("files") + self._parts("postings")
+        if not parts:
+            return 0
+        listing = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parts)
         return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
+    def stats(self) -> DataFrame:
+        """One row: ``indexed_files, last_scan, index_size_mb, total_documents, errors_encountered``."""
+        return index_stats(self.documents(), self.metadata(), self.size_bytes())
+
 
 def open_index(spark: SparkSession, location: str) -> Index | None:
     """The newest complete generation, or None where there is no index yet."""
@@ -171,14 +178,15 @@ def open_index(spark: SparkSession, location: str) -> Index | None:
         f"{location}/manifest/generation={newest}").collect()
     return Index(
         spark, location, newest, rows[0]["doc_buckets"], rows[0]["term_buckets"],
-        rows[0]["stem"], rows[0]["stream"], rows[0]["batch_id"],
+        rows[0]["stem"], rows[0]["streams"] or {},
         {r["doc_bucket"]: Bucket(r["data_generation"], r["n_files"], r["n_docs"],
                                  r["total_len"], r["max_doc_id"]) for r in rows})
 
 
 def _write_files(rows: DataFrame, path: str) -> None:
-    """Rows by document bucket; oversized buckets are split, tiny ones merged."""
+    """Rows by document bucket, sorted by id; oversized buckets are split, tiny ones merged."""
     (rows.select(*_FILE_COLUMNS, "doc_bucket").hint("rebalance", F.col("doc_bucket"))
+     .sortWithinPartitions("doc_bucket", "doc_id")
      .write.mode("overwrite").partitionBy("doc_bucket").parquet(path))
 
 
@@ -233,12 +241,12 @@ def apply_changes(spark: SparkSession, location: str, changes: DataFrame, run_ti
     """
     old = open_index(spark, location)
     generation, first_id, known, before = 0, 0, {}, None
+    streams = {} if stream is None else {stream: batch_id}
     touched = list(range(doc_buckets))
     if old is not None:
         stem, doc_buckets, term_buckets = old.stem, old.doc_buckets, old.term_buckets
         generation, first_id, known = old.generation + 1, old.next_doc_id, dict(old.buckets)
-        if stream is None:
-            stream, batch_id = old.stream, old.batch_id
+        streams = {**old.streams, **streams}
         changes = changes.where("status <> 'skipped'")
         touched = sorted(r[0] for r in changes.select(
             doc_bucket_of("path", doc_buckets)).distinct().collect())
@@ -276,7 +284,7 @@ def apply_changes(spark: SparkSession, location: str, changes: DataFrame, run_ti
         known[r["doc_bucket"]] = Bucket(generation, r["n_files"], r["n_docs"],
                                         r["total_len"] or 0, r["max_doc_id"])
     manifest = [(n, b.data_generation, b.n_files, b.n_docs, b.total_len, b.max_doc_id,
-                 doc_buckets, term_buckets, stem, stream, batch_id)
+                 doc_buckets, term_buckets, stem, streams)
                 for n, b in sorted(known.items())]
     (spark.createDataFrame(manifest, _without(MANIFEST_SCHEMA, "generation")).coalesce(1)
      .write.mode("overwrite").parquet(f"{location}/manifest/generation={generation}"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import iso_time
 from ..operators.changes import latest_versions
-from ..plans.index import apply_changes, open_index
+from ..plans.index import Index, apply_changes, open_index
 from ..plans.refresh import RefreshReport, refresh
 from ..plans.workdir import materialize
 from ..sources.files import check_scan_options
@@ -33,20 +34,56 @@ def feed_changes(feed: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("error"), iso_time("mtime").alias("last_modified"))
 
 
+def _deletions(spark: SparkSession, location: str) -> DataFrame:
+    """(path, deleted_at): the newest deletion that a feed brought for each path."""
+    try:
+        found = spark.read.schema("path string, mtime double").parquet(f"{location}/deletions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], "path string, mtime double")
+    return found.groupBy("path").agg(F.max("mtime").alias("deleted_at"))
+
+
+def not_outdated(changes: DataFrame, index: Index | None) -> DataFrame:
+    """Changes that are not older than what is stored, or was deleted, of their path.
+
+    At equal times a deletion wins over a version, a later arrival over an earlier one.
+    Changes without a time are taken as they come.
+    """
+    if index is None:
+        return changes
+    stored = index.metadata().select("path", F.col("mtime").alias("stored_at"))
+    gone = _deletions(index.spark, index.location)
+    mtime, deletes = F.col("mtime"), F.col("status") == "deleted"
+    after_stored = F.coalesce(mtime >= F.col("stored_at"), F.lit(True))
+    after_gone = F.coalesce(F.when(deletes, mtime >= F.col("deleted_at"))
+                            .otherwise(mtime > F.col("deleted_at")), F.lit(True))
+    return (changes.join(stored, "path", "left").join(gone, "path", "left")
+            .where(after_stored & after_gone).select(*changes.columns))
+
+
 def stream_index(feed: DataFrame, location: str, checkpoint: str, trigger: dict | None = None,
                  **options) -> StreamingQuery:
     """Apply a stream of changes to an index, one generation per micro-batch.
 
-    The manifest records stream and batch, so that a batch replayed after a
-    failure is not applied twice. ``trigger`` defaults to what is available now.
+    The manifest records the last batch of every stream, so that one replayed after a
+    failure is not applied twice. Versions may arrive in any order: an older one than
+    the stored one is passed over, and so is one from before a deletion, whose paths
+    and times are kept in ``deletions``. ``trigger`` defaults to what is available now.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         index = open_index(spark, location)
-        if index is not None and index.stream == checkpoint and index.batch_id >= batch_id:
+        if index is not None and index.streams.get(checkpoint, -1) >= batch_id:
             return
-        apply_changes(spark, location, materialize(feed_changes(batch), "feed"), time.time(),
-                      stream=checkpoint, batch_id=batch_id, **options)
+        changes = materialize(not_outdated(feed_changes(batch), index), "feed")
+        # Written before the generation they belong to, and again if that is done anew.
+        generation = 0 if index is None else index.generation + 1
+        (changes.where("status = 'deleted'").select("path", "mtime").write.mode("overwrite")
+         .parquet(f"{location}/deletions/generation={generation}"))
+        apply_changes(spark, location, changes, time.time(), stream=checkpoint, batch_id=batch_id,
+                      **options)
 
     return (feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -55,18 +92,22 @@ def stream_index(feed: DataFrame, location: str, checkpoint: str, trigger: dict
 def stream_rescan(spark: SparkSession, source: str, location: str, checkpoint: str,
                   interval_seconds: int = 300,
                   on_report: Callable[[RefreshReport], None] | None = None,
+                  on_error: Callable[[Exception], None] | None = None,
                   **options) -> StreamingQuery:
     """Refresh the index from its source tree at every interval.
 
-    A failed refresh is reported on the driver and the next one is tried.
+    A failed refresh ends the stream, which tells of it; with ``on_error`` that is
+    called instead and the next one is tried.
     """
     check_scan_options(source, location, interval_seconds=interval_seconds)
 
     def rescan(batch: DataFrame, batch_id: int) -> None:
         try:
             report = refresh(spark, source, location, **options)
-        except Exception as error:  # the stream goes on
-            print(f"rescan {batch_id} failed: {error}")
+        except Exception as error:
+            if on_error is None:
+                raise
+            on_error(error)
             return
         if on_report is not None:
             on_report(report)
