@@ -35,7 +35,7 @@ def search_results_batch(index: Index, queries: DataFrame, k: int = 10, width: i
                          query_id: str = "query_id", query_col: str = "query") -> DataFrame:
     """``query_id, rank, path, snippet, score, last_modified`` for a table of queries."""
     corpus = index.corpus()
-    best = materialize(search_batch(corpus, queries, k=k, query_id=query_id, query_col=query_col), "results")
+    best = materialize(search_batch(corpus, queries, k, query_id, query_col), "results")
     named = best.join(index.documents().select("doc_id", "path", "last_modified"), "doc_id")
     rows = with_batch_snippets(corpus, named, queries, index.documents(), width, text_col="content",
                                query_id=query_id, query_col=query_col)
