@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import bitpack, bpe, hamming, licenses, linetemplates, mixing, neardup, preferences, quality, toxicity
+from textloom.llm import (
+    bitpack, bpe, hamming, licenses, linetemplates, mixing, neardup, negatives, preferences, quality, runs, secrets,
+    toxicity,
+)
+from textloom.llm.columns import as_text, words_of
 from textloom.plans.workdir import materialize
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -207,6 +211,69 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.with_crc(bitpack.read_shards(manifest))
 
 
+def _spans(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "literal")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(_spans(base), 256).alias("base_sha256"), _spans("spans").alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(_table(spark, sf_dir, "embeddings"), label=label)
+    return negatives.mine_negatives(rows, F.col("id") % 50 == 0)
+
+
+_OP12 = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id,
+        cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+        from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+    p as (select anchor_id, id as positive_id, score as positive_score from s where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+    n as (select p.*, s.id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+        from p join s on s.anchor_id = p.anchor_id and not s.same
+        where 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+    select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+    from n where rank <= 3"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten has its words repeated from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # A stored array column: the words are made once and read several times.
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words_of(as_text("text"))).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    rows = rows.select("*", n.alias("n"), F.when(n > 0, g % n).cast("int").alias("a"))
+    rows = rows.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int").alias("p"))
+    tail = F.slice("w", F.col("a") + 1, "p")
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(tail, times)), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), "a"), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    # Runs come by start and period: of equal exponents the first one stays.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(
+        r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -214,7 +281,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_preferences, op2_hamming_topk, op3_mixing, op4_quality, op5_licenses, op6_bpe, op7_line_templates,
-        op8_toxicity, op9_near_duplicates, op10_packed_ids, pipeline)}
+        op8_toxicity, op9_near_duplicates, op10_packed_ids, op11_secrets, op12_hard_negatives, op13_periodic_runs,
+        pipeline)}
 
 SQL = {"op1_preferences": _OP1, "op2_hamming_topk": _OP2, "op3_mixing": _OP3, "op4_quality": _OP4,
-       "op9_near_duplicates": _OP9}
+       "op9_near_duplicates": _OP9, "op12_hard_negatives": _OP12}
