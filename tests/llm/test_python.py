@@ -122,6 +122,38 @@ def test_license_base(documents, odd):
         assert len(got) == docs.count()
 
 
+@pytest.mark.parametrize("label, notice, edits", licenses.NOTICES)
+def test_license_notices_next_to_each_other(label, notice, edits):
+    """As many places as a scan by edit distance finds."""
+    made = licenses.Scanner([(label, notice, edits)], ())
+    wrong = notice.replace("e", "x", 1)
+    for text in (f"{notice} {notice}", f"{notice} {notice} {notice}", f"{wrong} {notice}", f"{notice} {wrong} {wrong}"):
+        found = made.scan(text)["spans"]
+        places, at = 0, 0
+        while at < len(text):   # the shortest end of a match from each place on, left to right
+            row = list(range(len(notice) + 1))
+            end = None
+            for k in range(at, min(len(text), at + len(notice) + edits)):
+                new = [row[0] + 1]
+                for j, c in enumerate(notice):
+                    new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (c != text[k])))
+                row = new
+                if row[-1] <= edits and (end is None or row[-1] < end[0]):
+                    end = (row[-1], k + 1)
+            if end:
+                places, at = places + 1, end[1]
+            else:
+                at += 1
+        assert len(found) == places >= 2, text
+
+
+def test_many_license_places_take_linear_time():
+    import time
+    started = time.time()
+    found = licenses.Scanner().scan("all rights reserved released under the mit license " * 20_000)
+    assert found["n_base"] == 20_000 and len(found["spans"]) == 40_000 and time.time() - started < 20
+
+
 def test_license_notices_within_edits():
     made, rng = licenses.Scanner(), random.Random(3)
     for label, notice, edits in licenses.NOTICES:
@@ -216,9 +248,8 @@ def varied(seed, n):
 def test_near_duplicates(spark, monkeypatch, region):
     monkeypatch.setattr(neardup, "NEAREST", 2)
     rows = varied(5, 500)
-    members = neardup.regions
-    monkeypatch.setattr(neardup, "regions", lambda classes: members(classes, region))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                                  region=region).collect()
     mine = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got)
     want = brute_components(rows)
     if region == 1000:
@@ -228,6 +259,31 @@ def test_near_duplicates(spark, monkeypatch, region):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("region", [1000, 100, 30])
+def test_links_in_front_of_a_common_passage(spark, region):
+    """Texts 0.735 alike by a common passage; each second one is 0.752 alike to the one before."""
+    passage, rows = " ".join(f"p{i}" for i in range(604)), []
+    for i in range(400):
+        own = [f"u{i}x{k}" for k in range(108)]
+        own[-12:] = [f"s{i // 2}x{k}" for k in range(12)]
+        rows.append((i, f"{passage} {' '.join(own)}"))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=region).collect()
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    assert sum(component[i] == component[i + 1] for i in range(0, 400, 2)) >= 0.95 * 200
+    assert all(c in (i, i - 1) for i, c in component.items())
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids with other texts, and repeated rows."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, g = " ".join(words[:30]), " ".join(words[20:60]), " ".join(reversed(words))
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (9, g), (9, g), (10, ""), (10, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = [(r["doc_id"], r["text"], r["n"]) for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a, 0), (5, b, 2), (9, g, 4), (10, "", 6), (10, "", 7),
+                                                      (None, a, 8), (None, a, 9)]))
+
+
 @pytest.mark.parametrize("size", [40, neardup.SKETCH, 3 * neardup.SKETCH])
 def test_sketches_lose_no_link(size):
     draw = np.random.default_rng(size)
@@ -240,7 +296,7 @@ def test_sketches_lose_no_link(size):
         both = len(np.intersect1d(p, q))
         link = 100 * both >= 75 * (len(p) + len(q) - both)
         cut = [(x[:neardup.SKETCH] >> np.uint64(32)).astype("<u4") for x in (p, q)]
-        maybe = neardup.may_link(*cut, max(len(p), len(q)) <= neardup.SKETCH)
+        maybe = neardup.may_link(cut, np.array([len(p), len(q)]))[1, 0]
         assert maybe or not link
         refused += not maybe
     assert refused > 10

@@ -15,8 +15,10 @@ columns other than the id are not carried over.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -91,29 +93,32 @@ class Scanner:
         found = set()
         for k, starts in windows.items():
             label, text, edits, pattern = self.notices[k]
-            reach = -1
+            reach = 0
             for start in sorted(starts):
+                high = min(len(line), start + len(text) + edits)
+                # From where the last match ends; what overlaps it is looked at if nothing is left.
                 low = max(0, start - edits)
-                if low < reach:  # seen in the last match
-                    continue
-                m = pattern.search(line, low, min(len(line), start + len(text) + edits))
+                m = pattern.search(line, max(low, reach), high) or (low < reach < high and pattern.search(line, low, high))
                 if m:
                     found.add((label, sum(m.fuzzy_counts), m.start(), m.end()))
-                    reach = m.end()
-        kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (f[1], f[2] - f[3], f[2], f[0])):
-            if all(f[3] <= g[2] or f[2] >= g[3] for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[2])
+                    reach = max(reach, m.end())
+        kept: list[tuple[int, int, str, int]] = []   # start, end, label, edits: apart, by start
+        for label, edits, a, b in sorted(found, key=lambda f: (f[1], f[2] - f[3], f[2], f[0])):
+            at = bisect_left(kept, (a,))
+            if (not at or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                kept.insert(at, (a, b, label, edits))
+        return [(label, edits, a, b) for a, b, label, edits in kept]
 
     def scan(self, text: str) -> dict:
         """All findings of a lower-cased text."""
         words = WORDS.findall(text)
         line = f" {' '.join(words)} "
         base, fuzzy = self.base(line), self.notices_in(line)
-        starts = [line.count(" ", 0, at) for at, _ in base]
+        # Where each word begins; made once, and only if something was found.
+        begins = list(accumulate((len(w) + 1 for w in words), initial=1)) if base or fuzzy else []
+        starts = [bisect_left(begins, at + 1) for at, _ in base]
         # A match may begin inside a word or with the space before one.
-        spans = [{"label": label, "edits": edits, "word": max(0, line.count(" ", 0, a + (line[a] == " ")) - 1),
+        spans = [{"label": label, "edits": edits, "word": max(0, bisect_right(begins, a + (line[a] == " ")) - 1),
                   "start": a - 1, "end": b - 1} for label, edits, a, b in fuzzy]
         score = 1.0 if base else max([1 - e / (b - a) for _, e, a, b in fuzzy], default=0.0)
         return {"n_words": len(words), "n_base": len(base),
