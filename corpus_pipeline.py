@@ -40,9 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of its smallest id."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialize(gone, "near-gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return neardup.first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
