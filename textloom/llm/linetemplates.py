@@ -29,6 +29,7 @@ MIN_DOCS = 10      # documents that make a template boilerplate
 FIXED_SHARE = 0.7  # tokens of a line that must stay fixed in its template
 SUPPORT = 3        # different lines of a leaf that share a fixed token
 VARIABLE = "<*>"
+MARKS = 1 << 20    # numbers that tell rows which can lose a line from others; bounds what is broadcast
 
 
 def masked_tokens(line: Column) -> Column:
@@ -104,12 +105,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float =
     dropped = (found.join(boiler, ["leaf", "seq"]).where(F.col("doc") != F.col("first_doc"))
                .groupBy("key").agg(F.collect_set("position").alias("dropped")))
     dropped = materialize(dropped, "line-dropped").withColumnRenamed("key", "d_key")
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"),
-                       F.split(as_text(text_col), "\n", -1).alias("lines"))
-    rows = rows.join(dropped, F.col("key") == F.col("d_key"), "left")
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"))
+    # At most MARKS numbers tell which rows can lose a line; only those are joined and move.
+    marks = F.broadcast(dropped.select(F.pmod("d_key", F.lit(MARKS)).alias("mark")).distinct())
+    is_marked = F.pmod("key", F.lit(MARKS)) == F.col("mark")
+    text = as_text(f"row.`{text_col}`")
+    whole = rows.join(marks, is_marked, "left_anti").select(
+        "row", text.alias("kept_text"), _n_lines(text).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    # Texts are cut after the join, so that they move once.
+    cut = (rows.join(marks, is_marked, "left_semi").join(dropped, F.col("key") == F.col("d_key"), "left")
+           .select("row", "dropped", F.split(text, "\n", -1).alias("lines")))
     none = F.array().cast("array<int>")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", none))
-    rows = rows.select("row", "lines", kept.alias("kept"))
-    return rows.select("row", F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")
-                       .alias("kept_text"), F.size("lines").cast("long").alias("n_lines"),
-                       (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
+    cut = cut.select("row", "lines", kept.alias("kept"))
+    cut = cut.select("row", F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")
+                     .alias("kept_text"), F.size("lines").cast("long").alias("n_lines"),
+                     (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
+    return whole.unionByName(cut)
+
+
+def _n_lines(text: Column) -> Column:
+    return (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")

@@ -180,6 +180,34 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", "kept_text")
 
 
+_OP7 = r"""with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text,
+        coalesce(doc_id, 9223372036854775807) as doc from documents),
+    s as (select k, doc, string_split(text, chr(10)) as lines from d),
+    l as (select k, doc, pos, list_transform(regexp_extract_all(lines[pos], '[^\x20\x09-\x0D]+'),
+            lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens
+          from (select *, unnest(range(1, len(lines) + 1)) as pos from s)),
+    w as (select *, len(tokens) as n, tokens[1:3] as head from l where len(tokens) > 0),
+    q as (select n, head, tokens, count(distinct doc) as docs from w group by all),
+    busy as (select n, head from q group by all having sum(docs) >= 10),
+    q2 as (select q.* from q join busy using (n, head)),
+    p as (select n, head, tokens, unnest(range(1, n + 1)) as place, unnest(tokens) as token from q2),
+    f as (select n, head, place, token from p group by all having count(*) >= 3),
+    wide as (select n, head, tokens, list((place, token) order by place) as fixed from p join f using (n, head, place, token)
+        where token <> '<*>' group by all having count(*) >= 0.7 * n),
+    own as (select q2.n, q2.head, q2.tokens, fixed from q2 left join wide using (n, head, tokens)),
+    t as (select n, head, tokens, fixed, case when fixed is null then tokens end as alone from own),
+    m as (select w.n, w.head, fixed, alone, count(distinct doc) as n_docs, min(doc) as first_doc
+          from w join t using (n, head, tokens) group by all having count(distinct doc) >= 10),
+    gone as (select distinct w.k, w.pos from w join t using (n, head, tokens)
+        join m on m.n = w.n and m.head = w.head and m.fixed is not distinct from t.fixed
+            and m.alone is not distinct from t.alone where w.doc <> m.first_doc),
+    x as (select k, list(pos) as gone from gone group by k)
+    select d.doc_id, cast(len(lines) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_dropped,
+        coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: not list_contains(coalesce(gone, []), i)),
+            lambda i: lines[i]), chr(10)), '') as kept_text
+    from d join s using (k) left join x using (k)"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -284,5 +312,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity, op9_near_duplicates, op10_packed_ids, op11_secrets, op12_hard_negatives, op13_periodic_runs,
         pipeline)}
 
-SQL = {"op1_preferences": _OP1, "op2_hamming_topk": _OP2, "op3_mixing": _OP3, "op4_quality": _OP4,
+SQL = {"op1_preferences": _OP1, "op2_hamming_topk": _OP2, "op3_mixing": _OP3, "op4_quality": _OP4, "op7_line_templates": _OP7,
        "op9_near_duplicates": _OP9, "op12_hard_negatives": _OP12}
