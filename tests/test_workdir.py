@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import SMALL
 
@@ -41,3 +43,15 @@ def test_large_tables_are_not_shuffled(spark, monkeypatch):
     assert "Repartition" in tables.read_table(spark, path)._jdf.queryExecution().toString()
     monkeypatch.setattr(tables, "SPREAD_BYTES_PER_CORE", 10)
     assert "Repartition" not in tables.read_table(spark, path)._jdf.queryExecution().toString()
+
+
+def test_work_tables_are_removed(spark):
+    with workdir.work_tables() as outer:
+        with workdir.work_tables() as made:
+            df = workdir.materialize(spark.range(5), "numbers")
+        other = workdir.materialize(spark.range(7))
+    assert len(made) == 1 and len(outer) == 2 and os.path.isdir(made[0])
+    assert workdir.reads_from(df.where("id > 1"), made) and not workdir.reads_from(other, made)
+    workdir.delete_tables(spark, made)
+    workdir.delete_tables(spark, made)
+    assert not os.path.exists(made[0]) and other.count() == 7

@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,43 @@ def work_dir(spark: SparkSession) -> str:
     return sc._textloom_work_dir
 
 
+_made: ContextVar[list[str] | None] = ContextVar("textloom_work_tables", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def work_tables() -> Iterator[list[str]]:
+    """The paths of the work tables made inside, for ``delete_tables``.
+
+    They may go once nothing that was derived from them is to be read again.
+    """
+    outer, made = _made.get(), []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        if outer is not None:
+            outer += made
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove work tables, wherever their file system is; what is gone already is passed over."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def reads_from(df: DataFrame, paths: Iterable[str]) -> bool:
+    """If a frame reads one of these work tables."""
+    names = {path.rsplit("/", 1)[-1] for path in paths}
+    return any(part in names for file in df.inputFiles() for part in file.split("/"))
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
