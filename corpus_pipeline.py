@@ -6,13 +6,16 @@ columns of their input; the last returns the ids of each row's tokens.
 
 from __future__ import annotations
 
+import weakref
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, linetemplates, mixing, neardup, quality
 from textloom.llm.columns import WORD
-from textloom.plans.workdir import materialize
+from textloom.plans.workdir import delete_tables, materialize, reads_from, work_tables
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ORACLE_SQL = None  # byte-pair merges can't be said in SQL
@@ -54,12 +57,40 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
-          ("mixing", mix_sources), ("bpe", encode_bpe)]
+_earlier: list[tuple[weakref.ref, list[str]]] = []
+
+
+def _staged(stage):
+    """A stage that removes the work tables of earlier ones once nothing can read them:
+    their result is gone, and the documents that come in are not read from them.
+
+    Work tables back the result that a stage returns, so they stay until it is written.
+    """
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for entry in list(_earlier):
+            result, made = entry
+            if result() is None and not reads_from(docs, made):
+                delete_tables(spark, made)
+                _earlier.remove(entry)
+        with work_tables() as made:
+            out = stage(spark, docs, sf_dir)
+        _earlier.append((weakref.ref(out), made))
+        return out
+    return run_stage
+
+
+STAGES = [(name, _staged(stage)) for name, stage in (
+    ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("mixing", mix_sources), ("bpe", encode_bpe))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with work_tables() as written:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What the last but one stage left was read for the last time.
+        delete_tables(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
