@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,14 @@ def part(tf: Column, doc_len: Column, unit_idf: Column, avg_len) -> Column:
     """What one unit adds to the score of a row that holds it ``tf`` times."""
     norm = K1 * (1 - B + B * doc_len / _column(avg_len))
     return unit_idf * tf * (K1 + 1) / (tf + norm)
+
+
+def idf_value(n_docs: int, df: int) -> float:
+    """``idf`` of plain numbers."""
+    raw = math.log((n_docs - df + 0.5) / (df + 0.5)) if n_docs >= df else 0.0
+    return raw if raw > 0 else MIN_IDF
+
+
+def part_value(tf: int, doc_len: int, unit_idf: float, avg_len: float) -> float:
+    """``part`` of plain numbers. It grows with ``tf`` and falls with ``doc_len``."""
+    return unit_idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))

@@ -14,12 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bm25
 from ..plans.workdir import materialize
 from . import postings as ops
 from .classify import Unit
 
 # Bytes one document id takes in a broadcast relation, counted generously.
 _BYTES_PER_ID = 64
+MOST_TERMS = 1000      # terms of a prefix that are looked up one by one
+MOST_BLOCKS = 256      # blocks that are named in a filter
 
 
 @dataclass(frozen=True)
@@ -60,6 +63,10 @@ class Corpus(ABC):
     def hits(self, units: list[Unit], required: list[Unit] = ()) -> Hits:
         """``required`` units must all be present; it only serves to save work."""
 
+    def best_of_any(self, units: list[Unit], k: int) -> Hits | None:
+        """``hits`` reduced to documents that can be among the best k; None if it can't tell."""
+        return None
+
     @abstractmethod
     def places(self, words: list[str]) -> Hits:
         """Documents that hold all words, with their positions ``pos_0, pos_1, ...``."""
@@ -151,19 +158,34 @@ def _count_in_tokens(tokens: Column, unit: Unit) -> Column:
     return F.when(possible, F.size(places)).otherwise(0)
 
 
+@dataclass(frozen=True)
+class Term:
+    """What the dictionary says of a word; the bounds are None if it is not known."""
+
+    df: int
+    max_tf: int | None
+    min_len: int | None
+    blocked: bool
+
+
 class PostingsCorpus(Corpus):
     """Searches postings ``term, doc_id, tf, doc_len, positions``.
 
-    ``bucket`` maps a term to the condition that selects its part of the table,
-    so that a stored layout can be pruned.
+    ``bucket`` maps a term to its ``term_bucket``, so that a stored layout can be
+    pruned. ``terms`` is the dictionary of the postings in parts (term, df, cf, max_tf,
+    min_len, blocked), ``blocks`` the bounds of the blocks of those terms that are blocked in
+    a part: (term, block, max_tf, min_len), a block being ids without their last
+    ``block_bits`` bits. Without a dictionary the postings are counted instead.
     """
 
     def __init__(self, table: DataFrame, n_docs: int, total_len: int, stem: bool = True,
-                 bucket=None):
+                 bucket=None, terms: DataFrame | None = None, blocks: DataFrame | None = None,
+                 block_bits: int = 0):
         self.spark = table.sparkSession
         self.table, self.n_docs, self.total_len, self.stem = table, n_docs, total_len, stem
-        self.bucket = bucket
-        self._dfs: dict[str, int] = {}  # of the words asked for so far
+        self.bucket, self.parts, self.blocks, self.block_bits = bucket, terms, blocks, block_bits
+        self._known: dict[str, Term] = {}  # of the words asked for so far
+        self._started: dict[str, list[str] | None] = {}
 
     def totals(self):
         return self.n_docs, self.total_len
@@ -171,6 +193,13 @@ class PostingsCorpus(Corpus):
     def postings(self):
         return self.table
 
+    def dictionary(self, wanted: Column | None = None) -> DataFrame:
+        """(term, df, cf, max_tf, min_len, blocked) of the terms that some document holds."""
+        parts = self.parts if wanted is None else self.parts.where(wanted)
+        return parts.groupBy("term").agg(
+            F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"),
+            F.min("min_len").alias("min_len"), F.min("blocked").alias("blocked")).where("df > 0")
+
     def places(self, words):
         dfs = self._term_dfs(words)
         rows = self._rarest([Unit((w,)) for w in words], self.table.where(self._with_terms(words)))
@@ -185,26 +214,134 @@ class PostingsCorpus(Corpus):
     def _with_terms(self, terms) -> Column:
         """Rows of whole terms, pruned by bucket."""
         terms = sorted(set(terms))
+        if not terms:
+            return F.lit(False)
         wanted = F.col("term").isin(*terms)
         if self.bucket is None:
             return wanted
-        return any_of([self.bucket(t) for t in terms]) & wanted
+        return any_of([F.col("term_bucket") == self.bucket(F.lit(t)) for t in terms]) & wanted
+
+    def _terms_from(self, prefix: str) -> list[str] | None:
+        """The terms that begin so, from the dictionary; None if there are very many."""
+        if self.parts is None:
+            return None
+        if prefix not in self._started:
+            found = self.dictionary(F.startswith(F.col("term"), F.lit(prefix))).limit(MOST_TERMS + 1).collect()
+            self._note(found)
+            self._started[prefix] = None if len(found) > MOST_TERMS else [r["term"] for r in found]
+        return self._started[prefix]
 
     def _rows_of(self, units) -> DataFrame:
         whole = {t for u in units for t in (u.terms[:-1] if u.prefix else u.terms)}
-        started = {u.terms[-1] for u in units if u.prefix}
-        wanted = [self._with_terms(whole)] if whole else []
-        wanted += [F.startswith(F.col("term"), F.lit(p)) for p in sorted(started)]
-        return self.table.where(any_of(wanted))
+        wanted = []
+        for prefix in sorted({u.terms[-1] for u in units if u.prefix}):
+            terms = self._terms_from(prefix)
+            if terms is None:
+                wanted.append(F.startswith(F.col("term"), F.lit(prefix)))
+            else:
+                whole.update(terms)
+        return self.table.where(any_of([self._with_terms(whole), *wanted]))
+
+    def _note(self, rows) -> None:
+        self._known |= {r["term"]: Term(r["df"], r["max_tf"], r["min_len"], bool(r["blocked"])) for r in rows}
 
     def _term_dfs(self, terms) -> dict[str, int]:
-        """Document frequency of a few words; reads the term column only."""
-        unknown = [t for t in terms if t not in self._dfs]
+        """Document frequency of a few words, from the dictionary if there is one."""
+        unknown = [t for t in terms if t not in self._known]
+        if unknown and self.parts is not None:
+            found = self.dictionary(self._with_terms(unknown)).collect()
+        elif unknown:
+            none = F.lit(None).cast("int")
+            found = (self.table.where(self._with_terms(unknown)).groupBy("term").agg(F.count("*").alias("df"))
+                     .select("*", none.alias("max_tf"), none.alias("min_len"), none.alias("blocked")).collect())
         if unknown:
-            rows = (self.table.where(self._with_terms(unknown))
-                    .groupBy("term").agg(F.count("*").alias("df")).collect())
-            self._dfs |= {t: 0 for t in unknown} | {r["term"]: r["df"] for r in rows}
-        return {t: self._dfs[t] for t in terms}
+            self._known |= {t: Term(0, None, None, False) for t in unknown}
+            self._note(found)
+        return {t: self._known[t].df for t in terms}
+
+    def best_of_any(self, units: list[Unit], k: int) -> Hits | None:
+        """``hits`` of those documents only which can be among the best k that hold any unit.
+
+        The words that can add most give a score that the k-th document reaches at least.
+        Words which together stay below it can't bring a document in by themselves: their
+        postings are only read in the blocks where they can still make a difference to a
+        document that the others found. None if all rows are to be read.
+        """
+        if self.parts is None or k < 1 or any(u.prefix or u.first or len(u.terms) != 1 for u in units):
+            return None
+        words = [u.terms[0] for u in units]
+        self._term_dfs(words)
+        avg = self.total_len / self.n_docs if self.n_docs and self.total_len else 1.0
+        found = [w for w in dict.fromkeys(words) if self._known[w].df]
+        times = {w: words.count(w) for w in found}
+        idf = {w: bm25.idf_value(self.n_docs, self._known[w].df) for w in found}
+        bound = {w: times[w] * bm25.part_value(self._known[w].max_tf, self._known[w].min_len, idf[w], avg) for w in found}
+        order = sorted(found, key=lambda w: (-bound[w], w))
+        first, held = [], 0
+        while order[len(first):] and held < k:
+            first.append(order[len(first)])
+            held += self._known[first[-1]].df
+        if held < k or len(first) == len(order):
+            return None
+
+        def parts(tf: Column, length: Column, chosen) -> Column:
+            term = F.col("term")
+            return reduce(lambda a, w: a.when(term == w, times[w] * bm25.part(tf, length, F.lit(idf[w]), avg)),
+                          chosen, F.when(F.lit(False), 0.0))
+
+        def summed(chosen) -> DataFrame:
+            rows = self.table.where(self._with_terms(chosen))
+            return rows.groupBy("doc_id").agg(F.sum(parts(F.col("tf"), F.col("doc_len"), chosen)).alias("partial"))
+
+        least = summed(first).orderBy(F.desc("partial")).limit(k).agg(F.min("partial"), F.count("*")).first()
+        if least[1] < k:
+            return None
+        # A sum in another order may differ in its last bits.
+        least = least[0] * (1 - 1e-9)
+        rest, spare = [], 0.0
+        for w in reversed(order):
+            if spare + bound[w] >= least:
+                break
+            rest.append(w)
+            spare += bound[w]
+        if not rest:
+            return None
+        needed = [w for w in order if w not in rest]
+        candidates = materialize(summed(needed).where(F.col("partial") + spare >= least), "candidates")
+        candidates = self._within_reach(candidates, rest, bound, parts, least)
+        rows = self.table.where(self._with_terms(needed)).join(candidates.select("doc_id"), "doc_id", "left_semi")
+        more = self.table.where(self._with_terms(rest) & self._in_blocks(candidates))
+        rows = rows.unionByName(more.join(candidates.select("doc_id"), "doc_id", "left_semi"))
+        return Hits(self._by_document(rows, units), self.n_docs, self.total_len,
+                    tuple(self._known[w].df for w in words))
+
+    def _within_reach(self, candidates: DataFrame, rest, bound, parts, least: float) -> DataFrame:
+        """Candidates that still reach ``least`` by what the rest can add in their blocks."""
+        blocked = [w for w in rest if self._known[w].blocked]
+        if not blocked or self.blocks is None:
+            return candidates
+        spare = sum(bound[w] for w in rest if w not in blocked)
+        most = parts(F.col("max_tf"), F.col("min_len"), blocked)
+        bounds = self.blocks.where(self._with_terms(blocked)).groupBy("term", "block").agg(
+            F.max(most).alias("most")).groupBy("block").agg(F.sum("most").alias("most"))
+        near = candidates.withColumn("block", F.shiftright("doc_id", self.block_bits)).join(bounds, "block", "left")
+        reach = F.col("partial") + F.coalesce("most", F.lit(0.0)) + spare
+        return materialize(near.where(reach >= least).select("doc_id", "partial"), "candidates")
+
+    def _in_blocks(self, candidates: DataFrame) -> Column:
+        """The blocks of the candidates as ranges of ids, which prune row groups; all if they are many."""
+        found = (candidates.select(F.shiftright("doc_id", self.block_bits).alias("b")).distinct()
+                 .limit(MOST_BLOCKS + 1).collect())
+        if len(found) > MOST_BLOCKS:
+            return F.lit(True)
+        ranges: list[list[int]] = []
+        for b in sorted(r["b"] for r in found):
+            if ranges and b == ranges[-1][1] + 1:
+                ranges[-1][1] = b
+            else:
+                ranges.append([b, b])
+        size = 1 << self.block_bits
+        return any_of([F.lit(False), *[F.col("doc_id").between(a * size, (b + 1) * size - 1) for a, b in ranges]])
 
     def _rarest(self, required, rows: DataFrame) -> DataFrame:
         """Keep rows of documents with the rarest required word.

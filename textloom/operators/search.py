@@ -36,7 +36,8 @@ def search_units(corpus: Corpus, units: list[Unit], mode: str = "all",
     units = list(units)
     if not units:
         return no_results(corpus)
-    found = corpus.hits([*units, *excluded], units if mode == "all" else ())
+    found = corpus.best_of_any(units, k) if mode == "any" and not excluded else None
+    found = found or corpus.hits([*units, *excluded], units if mode == "all" else ())
     tf = [F.col(tf_name(i)) for i in range(len(units) + len(excluded))]
     wanted, unwanted = tf[:len(units)], tf[len(units):]
     holds = (all_of if mode == "all" else any_of)([t > 0 for t in wanted])

@@ -1,31 +1,38 @@
-"""A stored index: Parquet tables in generations.
-
-    files/generation=G/doc_bucket=D/                  documents and their metadata
-    postings/generation=G/doc_bucket=D/term_bucket=T/ term, doc_id, tf, doc_len, positions
-    manifest/generation=G/                            which generation holds each bucket
-
-Documents are bucketed by path, so that a refresh rewrites the buckets it touches
-and refers to older generations for the others. Within a bucket postings are
-bucketed by term and sorted, so that a search reads one term bucket of each and
-skips row groups by the statistics of ``term``. A frequent term is spread over
-all document buckets, and a bucket that is still too large is split when written.
-
-A generation counts once its manifest is there; it is written last, as one file.
-Readers keep the generation they opened. One writer at a time.
+"""A stored index: immutable segments, and commits that tell which of them are live.
+
+    files/segment=S/doc_bucket=D/        documents and their metadata
+    postings/segment=S/term_bucket=T/    term, doc_id, tf, doc_len, positions, born
+    terms/segment=S/term_bucket=T/       dictionary: df, cf and the bounds of each term
+    blocks/segment=S/term_bucket=T/      the same bounds for blocks of documents of a term
+    gone/segment=S/                      rows of earlier segments that this one replaces
+    deletions/segment=S/                 paths that were deleted, and when
+    commits/N.json                       the live segments and their figures
+
+A change of n files writes one segment of O(n) rows. It never rewrites others: rows it
+replaces are listed in ``gone`` by what names them for good, the number of the change that
+wrote them with the path, or with the document. The dictionary has differences: what a
+change removes counts below zero, so that frequencies are sums over segments.
+
+``merge_segments`` brings together segments of like size, and leaves out what is gone; it
+reads and writes these segments only, and each row is merged a logarithmic number of times.
+
+A commit is created once (``commits``). A writer that finds its number taken looks at what
+the others did: if they touched other paths its segment is added to theirs, else it
+starts anew from their state. Numbers of changes and documents are reserved by a commit
+as well. Readers keep the commit they opened.
 """
 
 from __future__ import annotations
 
-import re
+import math
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField,
-    StructType,
+    ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
 from ..functions.times import iso_time
@@ -33,50 +40,57 @@ from ..operators import postings as ops
 from ..operators.changes import classify_changes
 from ..operators.corpus import PostingsCorpus
 from ..operators.stats import index_stats
+from .commits import drop_commits, read_commit, try_commit
+from .workdir import delete_tables, materialize
 
 DOC_BUCKETS = 16
 TERM_BUCKETS = 16
-
-FILES_SCHEMA = StructType([
-    StructField("doc_id", LongType()), StructField("path", StringType()),
-    StructField("size", LongType()), StructField("mtime", DoubleType()),
-    StructField("last_indexed", DoubleType()), StructField("encoding", StringType()),
-    StructField("error", StringType()), StructField("content", StringType()),
-    StructField("last_modified", StringType()), StructField("born", IntegerType()),
-    StructField("generation", IntegerType()), StructField("doc_bucket", IntegerType()),
-])
-POSTINGS_SCHEMA = StructType([
-    StructField("term", StringType()), StructField("doc_id", LongType()),
-    StructField("tf", IntegerType()), StructField("doc_len", IntegerType()),
-    StructField("positions", ArrayType(IntegerType())),
-    StructField("generation", IntegerType()), StructField("doc_bucket", IntegerType()),
-    StructField("term_bucket", IntegerType()),
-])
-MANIFEST_SCHEMA = StructType([
-    StructField("doc_bucket", IntegerType()), StructField("data_generation", IntegerType()),
-    StructField("n_files", LongType()), StructField("n_docs", LongType()),
-    StructField("total_len", LongType()), StructField("max_doc_id", LongType()),
-    StructField("doc_buckets", IntegerType()), StructField("term_buckets", IntegerType()),
-    StructField("stem", BooleanType()), StructField("streams", MapType(StringType(), LongType())),
-    StructField("generation", IntegerType()),
-])
-_FILE_COLUMNS = [f.name for f in FILES_SCHEMA if f.name not in ("generation", "doc_bucket")]
-_POSTING_COLUMNS = [f.name for f in POSTINGS_SCHEMA if not f.name.endswith(("_bucket", "generation"))]
-
-
-def _without(schema: StructType, name: str) -> StructType:
-    return StructType([f for f in schema if f.name != name])
+FAN = 4                # segments of like size that are merged
+BLOCK_BITS = 7         # documents of a block have ids that differ in so many bits only
+BLOCKED_DF = 512       # documents from which on a term has bounds for blocks
+
+
+def _schema(*fields: tuple[str, object]) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields])
+
+
+_SEGMENT, _TERM_BUCKET = ("segment", StringType()), ("term_bucket", IntegerType())
+SCHEMAS = {
+    "files": _schema(
+        ("doc_id", LongType()), ("path", StringType()), ("size", LongType()), ("mtime", DoubleType()),
+        ("last_indexed", DoubleType()), ("encoding", StringType()), ("error", StringType()),
+        ("content", StringType()), ("last_modified", StringType()), ("born", IntegerType()),
+        ("written", IntegerType()), _SEGMENT, ("doc_bucket", IntegerType())),
+    "postings": _schema(
+        ("term", StringType()), ("doc_id", LongType()), ("tf", IntegerType()), ("doc_len", IntegerType()),
+        ("positions", ArrayType(IntegerType())), ("born", IntegerType()), _SEGMENT, _TERM_BUCKET),
+    "terms": _schema(
+        ("term", StringType()), ("df", LongType()), ("cf", LongType()), ("max_tf", IntegerType()),
+        ("min_len", IntegerType()), ("blocked", BooleanType()), _SEGMENT, _TERM_BUCKET),
+    "blocks": _schema(
+        ("term", StringType()), ("block", LongType()), ("max_tf", IntegerType()), ("min_len", IntegerType()),
+        _SEGMENT, _TERM_BUCKET),
+    "gone": _schema(
+        ("path", StringType()), ("written", IntegerType()), ("doc_id", LongType()), ("born", IntegerType()),
+        _SEGMENT),
+    "deletions": _schema(("path", StringType()), ("mtime", DoubleType()), _SEGMENT),
+}
+_FILE_COLUMNS = [f.name for f in SCHEMAS["files"] if f.name not in ("segment", "doc_bucket")]
+_POSTING_COLUMNS = [f.name for f in SCHEMAS["postings"] if f.name not in ("segment", "term_bucket")]
 
 
 @dataclass(frozen=True)
-class Bucket:
-    """One row of the manifest."""
+class Segment:
+    """An entry of a commit. ``n_docs`` and ``total_len`` are differences; ``rows`` of each table."""
 
-    data_generation: int
-    n_files: int
+    name: str
+    numbers: list[list[int]]     # ranges of the changes whose rows it holds
     n_docs: int
     total_len: int
-    max_doc_id: int
+    rows: dict[str, int] = field(hash=False)
+
+    def holds(self, number: int) -> bool:
+        return any(a <= number <= b for a, b in self.numbers)
 
 
 def doc_bucket_of(path: Column | str, buckets: int) -> Column:
@@ -89,206 +103,399 @@ def term_bucket_of(term: Column | str, buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """An opened generation. The manifest has one row per document bucket."""
+    """An opened commit."""
 
     spark: SparkSession
     location: str
-    generation: int
+    commit: int
+    generation: int            # changes and merges committed, from 0
     doc_buckets: int
     term_buckets: int
     stem: bool
+    next_doc_id: int
+    next_number: int
     streams: dict[str, int]    # the last micro-batch applied of each stream
-    buckets: dict[int, Bucket]
+    segments: list[Segment]
 
     @property
     def n_docs(self) -> int:
-        return sum(b.n_docs for b in self.buckets.values())
+        return sum(s.n_docs for s in self.segments)
 
     @property
     def total_len(self) -> int:
-        return sum(b.total_len for b in self.buckets.values())
-
-    @property
-    def next_doc_id(self) -> int:
-        return max((b.max_doc_id for b in self.buckets.values()), default=-1) + 1
-
-    def _parts(self, table: str, buckets: Iterable[int] | None = None) -> list[str]:
-        """Folders of the live generation of each bucket that has rows in the table."""
-        chosen = sorted(self.buckets if buckets is None else self.buckets.keys() & set(buckets))
-        held = [(n, self.buckets[n]) for n in chosen]
-        return [f"{self.location}/{table}/generation={b.data_generation}/doc_bucket={n}"
-                for n, b in held if (b.n_files if table == "files" else b.total_len)]
-
-    def _read(self, table: str, schema: StructType, buckets: Iterable[int] | None) -> DataFrame:
-        parts = self._parts(table, buckets)
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        root = f"{self.location}/{table}"
-        return self.spark.read.schema(schema).option("basePath", root).parquet(*parts)
+        return sum(s.total_len for s in self.segments)
+
+    def table(self, name: str, segments: list[Segment] | None = None) -> DataFrame:
+        """The rows of a table in these segments, or all, as they were written."""
+        held = [s for s in (self.segments if segments is None else segments) if s.rows.get(name)]
+        if not held:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        root = f"{self.location}/{name}"
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", root).parquet(
+            *[f"{root}/segment={s.name}" for s in held])
+
+    def _has(self, name: str) -> bool:
+        return any(s.rows.get(name) for s in self.segments)
+
+    def live_files(self, segments: list[Segment] | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        rows = self.table("files", segments)
+        if buckets is not None:
+            rows = rows.where(F.col("doc_bucket").isin(*buckets))
+        if self._has("gone"):
+            rows = rows.join(self.table("gone").select("path", "written"), ["path", "written"], "left_anti")
+        return rows
+
+    def live_postings(self, segments: list[Segment] | None = None) -> DataFrame:
+        rows = self.table("postings", segments)
+        if self._has("gone"):
+            gone = self.table("gone").where("doc_id is not null").select("doc_id", "born")
+            rows = rows.join(gone, ["doc_id", "born"], "left_anti")
+        return rows
 
     def files(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """Every known file: metadata, and content if it could be read once."""
-        return self._read("files", FILES_SCHEMA, buckets)
+        return self.live_files(buckets=buckets)
 
-    def postings(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        return self._read("postings", POSTINGS_SCHEMA, buckets)
+    def postings(self) -> DataFrame:
+        return self.live_postings()
 
     def documents(self) -> DataFrame:
         return self.files().where(F.col("content").isNotNull()).select(
             "doc_id", "path", "content", "last_modified")
 
-    def metadata(self) -> DataFrame:
-        return self.files().select("path", "size", "mtime", "last_indexed", "encoding", "error")
+    def metadata(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        return self.files(buckets).select("path", "size", "mtime", "last_indexed", "encoding", "error")
+
+    def deletions(self) -> DataFrame:
+        """(path, deleted_at): the newest deletion of each path that had a time."""
+        return self.table("deletions").groupBy("path").agg(F.max("mtime").alias("deleted_at"))
+
+    def terms(self) -> DataFrame:
+        """The dictionary: ``term, df, cf``."""
+        return self.corpus().dictionary().select("term", "df", "cf")
 
     def corpus(self) -> PostingsCorpus:
         buckets = self.term_buckets
+        return PostingsCorpus(self.postings(), self.n_docs, self.total_len, self.stem,
+                              lambda term: term_bucket_of(term, buckets),
+                              self.table("terms"), self.table("blocks"), BLOCK_BITS)
 
-        def in_bucket(term: str) -> Column:
-            return F.col("term_bucket") == term_bucket_of(F.lit(term), buckets)
-
-        return PostingsCorpus(self.postings(), self.n_docs, self.total_len, self.stem, in_bucket)
+    def _folders(self) -> list[str]:
+        return [f"{self.location}/{name}/segment={s.name}" for s in self.segments
+                for name in SCHEMAS if s.rows.get(name)]
 
     def size_bytes(self) -> int:
-        """Bytes of the data files that this generation reads."""
-        parts = self._parts("files") + self._parts("postings")
-        if not parts:
+        """Bytes of the data files that this commit reads."""
+        if not (folders := self._folders()):
             return 0
-        listing = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parts)
+        listing = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
         return listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
     def stats(self) -> DataFrame:
         """One row: ``indexed_files, last_scan, index_size_mb, total_documents, errors_encountered``."""
         return index_stats(self.documents(), self.metadata(), self.size_bytes())
 
+    def content(self, **changed) -> dict:
+        """What a commit says of this state, with some of it changed."""
+        said = {name: getattr(self, name) for name in
+                ("generation", "doc_buckets", "term_buckets", "stem", "next_doc_id", "next_number", "streams", "segments")}
+        said |= changed
+        return said | {"segments": [vars(s) for s in said["segments"]]}
 
-def open_index(spark: SparkSession, location: str) -> Index | None:
-    """The newest complete generation, or None where there is no index yet."""
-    try:
-        manifests = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{location}/manifest").inputFiles()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    # Only names are looked at: the newest manifest is the only one to be read.
-    numbers = [int(n) for f in manifests for n in re.findall(r"/generation=(\d+)/", f)]
-    if not numbers:
+
+def _open(spark: SparkSession, location: str) -> Index | None:
+    """The newest commit, one that only reserves numbers for a first change too."""
+    found = read_commit(spark, location)
+    if found is None:
         return None
-    newest = max(numbers)
-    rows = spark.read.schema(_without(MANIFEST_SCHEMA, "generation")).parquet(
-        f"{location}/manifest/generation={newest}").collect()
-    return Index(
-        spark, location, newest, rows[0]["doc_buckets"], rows[0]["term_buckets"],
-        rows[0]["stem"], rows[0]["streams"] or {},
-        {r["doc_bucket"]: Bucket(r["data_generation"], r["n_files"], r["n_docs"],
-                                 r["total_len"], r["max_doc_id"]) for r in rows})
+    number, said = found
+    return Index(spark, location, number, **said | {"segments": [Segment(**s) for s in said["segments"]]})
 
 
-def _write_files(rows: DataFrame, path: str) -> None:
-    """Rows by document bucket, sorted by id; oversized buckets are split, tiny ones merged."""
-    (rows.select(*_FILE_COLUMNS, "doc_bucket").hint("rebalance", F.col("doc_bucket"))
-     .sortWithinPartitions("doc_bucket", "doc_id")
-     .write.mode("overwrite").partitionBy("doc_bucket").parquet(path))
+def open_index(spark: SparkSession, location: str) -> Index | None:
+    """The newest complete state, or None where there is no index yet."""
+    index = _open(spark, location)
+    return None if index is None or index.generation < 0 else index
 
 
-def _write_postings(rows: DataFrame, path: str) -> None:
-    """Postings by both buckets, sorted by term and document in each file."""
-    (rows.select(*_POSTING_COLUMNS, "doc_bucket", "term_bucket")
-     .hint("rebalance", F.col("doc_bucket"), F.col("term_bucket"))
-     .sortWithinPartitions("doc_bucket", "term_bucket", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("doc_bucket", "term_bucket").parquet(path))
+def _write(rows: DataFrame, location: str, table: str, segment: str, order: list[str]) -> str:
+    """Rows by bucket, sorted; oversized buckets are split, tiny ones merged."""
+    path = f"{location}/{table}/segment={segment}"
+    bucket = "doc_bucket" if table == "files" else "term_bucket"
+    columns = [f.name for f in SCHEMAS[table] if f.name != "segment"]
+    (rows.select(*columns).hint("rebalance", F.col(bucket)).sortWithinPartitions(bucket, *order)
+     .write.partitionBy(bucket).parquet(path))
+    return path
 
 
-def _new_rows(changes: DataFrame, run_time: float, generation: int, first_id: int,
+def _stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    schema = StructType([f for f in SCHEMAS[table] if f.name != "segment"])
+    return spark.read.schema(schema).parquet(path)
+
+
+def _new_rows(changes: DataFrame, run_time: float, number: int, offsets: DataFrame | None,
               buckets: int) -> DataFrame:
-    """Rows of documents to store. Ids given here are final once they are written."""
+    """Rows of documents to store, numbered without gaps by the partitions they are in."""
     rows = changes.where("status = 'ok'")
-    if "doc_id" not in changes.columns:
-        rows = rows.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(first_id))
+    if offsets is not None:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = rows.select("*", F.spark_partition_id().alias("part"), place.alias("place"))
+        rows = rows.join(F.broadcast(offsets), "part").withColumn("doc_id", F.col("offset") + F.col("place"))
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"), "path", F.col("size").cast("long").alias("size"),
         "mtime", F.lit(float(run_time)).alias("last_indexed"), "encoding",
         F.lit(None).cast("string").alias("error"), "content", "last_modified",
-        F.lit(generation).alias("born"), doc_bucket_of("path", buckets).alias("doc_bucket"))
+        F.lit(number).alias("born"), F.lit(number).alias("written"), doc_bucket_of("path", buckets).alias("doc_bucket"))
 
 
-def _error_rows(changes: DataFrame, before: DataFrame | None, run_time: float,
-                buckets: int) -> DataFrame:
+def _error_rows(changes: DataFrame, before: DataFrame, run_time: float, number: int, buckets: int) -> DataFrame:
     """Metadata of files that failed; content indexed earlier stays."""
     rows = changes.where("status = 'error'").select("path", "size", "mtime", "error")
-    kept = [("doc_id", "long"), ("content", "string"), ("last_modified", "string"), ("born", "int")]
-    if before is None:
-        rows = rows.select("*", *[F.lit(None).cast(t).alias(name) for name, t in kept])
-    else:
-        rows = rows.join(before.select("path", *[name for name, _ in kept]), "path", "left")
+    rows = rows.join(before.select("path", "doc_id", "content", "last_modified", "born"), "path", "left")
     return rows.select(
         "doc_id", "path", F.col("size").cast("long").alias("size"), "mtime",
         F.lit(float(run_time)).alias("last_indexed"), F.lit(None).cast("string").alias("encoding"),
-        "error", "content", "last_modified", "born", doc_bucket_of("path", buckets).alias("doc_bucket"))
+        "error", "content", "last_modified", "born", F.lit(number).alias("written"),
+        doc_bucket_of("path", buckets).alias("doc_bucket"))
+
+
+def _dictionary(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("max_tf"),
+        F.min("doc_len").alias("min_len"))
+
+
+def _write_bounds(spark: SparkSession, location: str, name: str, postings: DataFrame, removed: DataFrame | None,
+                  extra: DataFrame | None, term_buckets: int) -> tuple[DataFrame, int]:
+    """Write the dictionary of a segment and the bounds of its frequent terms' blocks.
+
+    ``removed`` are (term, tf) of documents that the segment replaces; ``extra`` are differences
+    of merged segments that already are in a dictionary.
+    """
+    own = _dictionary(postings).withColumn("blocked", F.col("df") >= BLOCKED_DF)
+    if extra is not None:
+        # The sums come from the merged dictionaries, the bounds from the rows that are left.
+        own = extra.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).join(
+            own.drop("df", "cf"), "term", "left")
+    nothing = [F.lit(None).cast("int").alias("max_tf"), F.lit(None).cast("int").alias("min_len"),
+               F.lit(None).cast("boolean").alias("blocked")]
+    if removed is not None:
+        less = removed.groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("tf")).cast("long").alias("cf"))
+        own = own.unionByName(less.select("*", *nothing)).groupBy("term").agg(
+            F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"),
+            F.min("min_len").alias("min_len"), F.min("blocked").alias("blocked"))
+    own = own.where("df <> 0 or max_tf is not null")
+    bucket = term_bucket_of("term", term_buckets).alias("term_bucket")
+    terms = _stored(spark, _write(own.select("*", bucket), location, "terms", name, ["term"]), "terms")
+    frequent = terms.where("blocked").select("term")
+    blocks = postings.join(frequent, "term", "left_semi").groupBy(
+        "term", F.shiftright("doc_id", BLOCK_BITS).alias("block")).agg(
+        F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
+    path = _write(blocks.select("*", bucket), location, "blocks", name, ["term", "block"])
+    return terms, _stored(spark, path, "blocks").count()
+
+
+def _write_segment(index: Index, number: int, changes: DataFrame, run_time: float,
+                   offsets: DataFrame | None, n_ok: int | None) -> tuple[Segment, int]:
+    """Write what a change comes to; the segment and the largest id of its documents."""
+    spark, location = index.spark, index.location
+    name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+    if index.segments:
+        touched = [r[0] for r in changes.select(doc_bucket_of("path", index.doc_buckets)).distinct().collect()]
+        before = index.files(touched).join(changes.select("path"), "path", "left_semi")
+    else:
+        before = spark.createDataFrame([], SCHEMAS["files"])
+    # The rows that the change replaces: as many as it has, at most.
+    before = materialize(before.join(changes.select("path", F.col("status").alias("new_status")), "path"),
+                         "before") if index.segments else before.withColumn("new_status", F.lit(""))
+
+    files = _new_rows(changes, run_time, number, offsets, index.doc_buckets).unionByName(
+        _error_rows(changes, before, run_time, number, index.doc_buckets))
+    written = _stored(spark, _write(files, location, "files", name, ["doc_id"]), "files")
+    fresh = written.where(F.col("content").isNotNull() & (F.col("born") == number))
+    postings = ops.build_postings(fresh, "doc_id", "content", index.stem, ("born",)).withColumn(
+        "term_bucket", term_bucket_of("term", index.term_buckets))
+    postings = _stored(spark, _write(postings, location, "postings", name, ["term", "doc_id"]), "postings")
+
+    removed, n_gone, n_removed, n_deletions = None, 0, 0, 0
+    if index.segments:
+        drops = F.col("new_status").isin("ok", "deleted") & F.col("doc_id").isNotNull()
+        n_gone, n_removed = before.agg(F.count("*"), F.count_if(drops)).first()
+        before.select("path", "written", F.when(drops, F.col("doc_id")).alias("doc_id"),
+                      F.when(drops, F.col("born")).alias("born")).write.parquet(f"{location}/gone/segment={name}")
+        if n_removed:
+            removed = ops.build_postings(before.where(drops), "doc_id", "content", index.stem, positions=False)
+    gone_at = changes.where("status = 'deleted'").select("path", F.col("mtime").cast("double").alias("mtime"))
+    if not gone_at.isEmpty():
+        gone_at.write.parquet(f"{location}/deletions/segment={name}")
+        n_deletions = gone_at.count()
+    terms, n_blocks = _write_bounds(spark, location, name, postings, removed, None, index.term_buckets)
+    n_terms, total_len = terms.agg(F.count("*"), F.coalesce(F.sum("cf"), F.lit(0))).first()
+    is_new = F.col("error").isNull() & (F.col("born") == number)
+    n_files, n_new, n_docs, last_id = written.agg(
+        F.count("*"), F.count_if(is_new), F.count_if(F.col("content").isNotNull() & is_new),
+        F.coalesce(F.max("doc_id"), F.lit(-1))).first()
+    if n_ok is not None and n_new != n_ok:
+        raise RuntimeError("the changes were read twice with different partitions: store them as a table first")
+    rows = {"files": n_files, "postings": postings.count(), "terms": n_terms, "blocks": n_blocks, "gone": n_gone,
+            "deletions": n_deletions}
+    return Segment(name, [[number, number]], n_docs - n_removed, total_len, rows), last_id
+
+
+def _reserve(spark: SparkSession, location: str, n_ids: int, options: dict) -> tuple[Index, int, int]:
+    """(state, number of the change, its first document id): nobody else gets these."""
+    while True:
+        index = _open(spark, location)
+        if index is None or index.generation < 0:
+            first = 0 if index is None else index.next_doc_id
+            number = 0 if index is None else index.next_number
+            commit = 0 if index is None else index.commit + 1
+            index = Index(spark, location, commit - 1, -1, options["doc_buckets"], options["term_buckets"],
+                          options["stem"], first, number, {}, [])
+        said = index.content(next_doc_id=index.next_doc_id + n_ids, next_number=index.next_number + 1)
+        if try_commit(spark, location, index.commit + 1, said):
+            return index, index.next_number, index.next_doc_id
+
+
+def _in_the_way(base: Index, now: Index, changes: DataFrame) -> bool:
+    """If others changed the same paths since ``base`` was opened."""
+    known = {tuple(r) for s in base.segments for r in s.numbers}
+    others = [s for s in now.segments if s.name not in {b.name for b in base.segments}
+              and not all(any(a <= x and y <= b for a, b in known) for x, y in s.numbers)]
+    if not others:
+        return False
+    theirs = now.table("files", others).select("path").unionByName(now.table("gone", others).select("path")).unionByName(
+        now.table("deletions", others).select("path"))
+    return not changes.select("path").join(theirs, "path", "left_semi").isEmpty()
 
 
 def apply_changes(spark: SparkSession, location: str, changes: DataFrame, run_time: float,
                   stem: bool = True, doc_buckets: int = DOC_BUCKETS,
                   term_buckets: int = TERM_BUCKETS, stream: str | None = None,
                   batch_id: int | None = None) -> Index:
-    """Upsert and delete by path, as a new generation.
+    """Upsert and delete by path, as a new segment.
 
     ``changes``: ``path, status, size, mtime, encoding, content, error,
     last_modified`` with one row per path, and ``doc_id`` if the caller numbers
     the documents. It is read more than once, so it should be a stored table.
     Status ``ok`` replaces a document, ``error`` records a failure, ``deleted``
     removes the path, ``skipped`` changes nothing. Bucket counts and stemming are
-    fixed by the first generation.
+    fixed by the first change. Writers may run at the same time.
+    """
+    options = {"stem": stem, "doc_buckets": doc_buckets, "term_buckets": term_buckets}
+    changes = changes.where("status <> 'skipped'")
+    numbered = "doc_id" in changes.columns
+    counts = [] if numbered else [tuple(r) for r in changes.where("status = 'ok'").groupBy(
+        F.spark_partition_id().alias("part")).count().orderBy("part").collect()]  # a row per partition
+    while True:
+        base, number, first_id = _reserve(spark, location, sum(n for _, n in counts), options)
+        offsets = None
+        if not numbered:
+            ends = [first_id]
+            for _, n in counts:
+                ends.append(ends[-1] + n)
+            offsets = spark.createDataFrame([(p, e) for (p, _), e in zip(counts, ends)], "part int, offset long")
+        segment, last_id = _write_segment(base, number, changes, run_time, offsets,
+                                          None if numbered else sum(n for _, n in counts))
+        while True:
+            now = _open(spark, location)
+            if stream is not None and now.streams.get(stream, -1) >= batch_id:
+                return open_index(spark, location)  # applied by another run of the same stream
+            if _in_the_way(base, now, changes):
+                break
+            said = now.content(
+                generation=now.generation + 1, segments=[*now.segments, segment],
+                next_doc_id=max(now.next_doc_id, last_id + 1),
+                streams=now.streams if stream is None else {**now.streams, stream: batch_id})
+            if try_commit(spark, location, now.commit + 1, said):
+                return open_index(spark, location)
+
+
+def _tier(segment: Segment, fan: int) -> int:
+    return int(math.log(max(1, segment.rows.get("postings", 0) + segment.rows.get("gone", 0)), fan))
+
+
+def _merged(index: Index, chosen: list[Segment]) -> Segment:
+    """Write the rows of some segments that are live, and what still holds of their differences."""
+    spark, location = index.spark, index.location
+    ranges: list[list[int]] = []
+    for a, b in sorted(r for s in chosen for r in s.numbers):
+        if ranges and a <= ranges[-1][1] + 1:
+            ranges[-1][1] = max(b, ranges[-1][1])
+        else:
+            ranges.append([a, b])
+    name = f"{ranges[-1][1]:08d}-{uuid.uuid4().hex[:8]}"
+    files = _stored(spark, _write(index.live_files(chosen), location, "files", name, ["doc_id"]), "files")
+    postings = _stored(spark, _write(index.live_postings(chosen), location, "postings", name, ["term", "doc_id"]),
+                       "postings")
+    # Rows to leave out are only needed as long as they can be in another segment.
+    inside = lambda c: F.coalesce(F.lit(False) | _any([F.col(c).between(a, b) for a, b in ranges]), F.lit(True))
+    gone = materialize(index.table("gone", chosen).where(~(inside("written") & inside("born"))).drop("segment"), "gone")
+    n_gone, n_deletions = gone.count(), 0
+    if n_gone:
+        gone.write.parquet(f"{location}/gone/segment={name}")
+    if any(s.rows.get("deletions") for s in chosen):
+        deletions = index.table("deletions", chosen).groupBy("path").agg(F.max("mtime").alias("mtime"))
+        deletions.write.parquet(f"{location}/deletions/segment={name}")
+        n_deletions = sum(s.rows.get("deletions", 0) for s in chosen)
+    terms, n_blocks = _write_bounds(spark, location, name, postings, None, index.table("terms", chosen),
+                                    index.term_buckets)
+    rows = {"files": files.count(), "postings": postings.count(), "terms": terms.count(), "blocks": n_blocks,
+            "gone": n_gone, "deletions": n_deletions}
+    return Segment(name, ranges, sum(s.n_docs for s in chosen), sum(s.total_len for s in chosen), rows)
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def merge_segments(spark: SparkSession, location: str, fan: int = FAN) -> Index | None:
+    """Merge ``fan`` or more segments of like size until there are no such.
+
+    Others may write at the same time. Segments of which another merge was faster are left.
+    """
+    while (index := open_index(spark, location)) is not None:
+        tiers: dict[int, list[Segment]] = {}
+        for s in index.segments:
+            tiers.setdefault(_tier(s, fan), []).append(s)
+        chosen = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), None)
+        if chosen is None:
+            return index
+        merged, names = _merged(index, chosen), {s.name for s in chosen}
+        while True:
+            now = open_index(spark, location)
+            if not names <= {s.name for s in now.segments}:
+                break
+            segments = [merged if s.name == chosen[0].name else s for s in now.segments
+                        if s.name == chosen[0].name or s.name not in names]
+            if try_commit(spark, location, now.commit + 1, now.content(generation=now.generation + 1, segments=segments)):
+                break
+    return None
+
+
+def remove_old(spark: SparkSession, location: str) -> list[str]:
+    """Remove segments and commits that the newest state does not need; the names of the segments.
+
+    Not while others write, and not while readers use an older state.
     """
-    old = open_index(spark, location)
-    generation, first_id, known, before = 0, 0, {}, None
-    streams = {} if stream is None else {stream: batch_id}
-    touched = list(range(doc_buckets))
-    if old is not None:
-        stem, doc_buckets, term_buckets = old.stem, old.doc_buckets, old.term_buckets
-        generation, first_id, known = old.generation + 1, old.next_doc_id, dict(old.buckets)
-        streams = {**old.streams, **streams}
-        changes = changes.where("status <> 'skipped'")
-        touched = sorted(r[0] for r in changes.select(
-            doc_bucket_of("path", doc_buckets)).distinct().collect())
-        before = old.files(touched).drop("generation")
-
-    files = _new_rows(changes, run_time, generation, first_id, doc_buckets).unionByName(
-        _error_rows(changes, before, run_time, doc_buckets))
-    if before is not None:
-        files = files.unionByName(before.join(changes.select("path"), "path", "left_anti"))
-    files_path = f"{location}/files/generation={generation}"
-    _write_files(files, files_path)
-    written = spark.read.schema(_without(FILES_SCHEMA, "generation")).parquet(files_path)
-
-    postings = ops.build_postings(
-        written.where(F.col("content").isNotNull() & (F.col("born") == generation)),
-        "doc_id", "content", stem, ("doc_bucket",)
-    ).withColumn("term_bucket", term_bucket_of("term", term_buckets))
-    if before is not None:
-        # Documents that stay keep their postings as they are.
-        gone = changes.where("status in ('ok', 'deleted')").select("path")
-        gone = before.where("doc_id is not null").join(gone, "path", "left_semi").select("doc_id")
-        kept = old.postings(touched).join(gone, "doc_id", "left_anti")
-        postings = postings.unionByName(kept.drop("generation"))
-    postings_path = f"{location}/postings/generation={generation}"
-    _write_postings(postings, postings_path)
-
-    counts = written.groupBy("doc_bucket").agg(
-        F.count("*").alias("n_files"), F.count("content").alias("n_docs"),
-        F.coalesce(F.max("doc_id"), F.lit(-1)).alias("max_doc_id"))
-    lengths = spark.read.schema(_without(POSTINGS_SCHEMA, "generation")).parquet(
-        postings_path).groupBy("doc_bucket").agg(F.sum("tf").alias("total_len"))
-    for number in touched:
-        known[number] = Bucket(generation, 0, 0, 0, first_id - 1)
-    for r in counts.join(lengths, "doc_bucket", "left").collect():  # one row per bucket
-        known[r["doc_bucket"]] = Bucket(generation, r["n_files"], r["n_docs"],
-                                        r["total_len"] or 0, r["max_doc_id"])
-    manifest = [(n, b.data_generation, b.n_files, b.n_docs, b.total_len, b.max_doc_id,
-                 doc_buckets, term_buckets, stem, streams)
-                for n, b in sorted(known.items())]
-    (spark.createDataFrame(manifest, _without(MANIFEST_SCHEMA, "generation")).coalesce(1)
-     .write.mode("overwrite").parquet(f"{location}/manifest/generation={generation}"))
-    return open_index(spark, location)
+    index = open_index(spark, location)
+    if index is None:
+        return []
+    live = {s.name for s in index.segments}
+    found = set()
+    for table in SCHEMAS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{table}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            names = [s.getPath().getName().removeprefix("segment=") for s in fs.listStatus(folder)]
+            old = [n for n in names if n not in live]
+            delete_tables(spark, [f"{location}/{table}/segment={n}" for n in old])
+            found.update(old)
+    drop_commits(spark, location, index.commit)
+    return sorted(found)
 
 
 def build_index(documents: DataFrame, location: str, id_col: str = "doc_id",

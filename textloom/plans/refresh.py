@@ -14,7 +14,7 @@ from ..operators.changes import refresh_errors, refresh_summary
 from ..sources.files import (
     binary_files, check_scan_options, read_bytes, read_text, resolve_path, scan_corpus,
 )
-from .index import Index, apply_changes, open_index, plan_refresh
+from .index import Index, apply_changes, merge_segments, open_index, plan_refresh
 from .workdir import materialize
 
 
@@ -50,7 +50,8 @@ def _run(spark: SparkSession, location: str, raw: DataFrame, actions: DataFrame,
     changes = read.unionByName(removed).where("status <> 'skipped'")
     index = open_index(spark, location)
     if index is None or not changes.isEmpty():
-        index = apply_changes(spark, location, changes, run_time, **options)
+        apply_changes(spark, location, changes, run_time, **options)
+        index = merge_segments(spark, location)
     outcomes = actions.join(read.select("path", "status", F.col("error").alias("reason")),
                             "path", "left")
     return RefreshReport(outcomes, time.time() - started, index)

@@ -13,18 +13,22 @@ from ..operators.snippets import with_batch_snippets, with_snippets
 from .index import Index
 from .workdir import materialize
 
+FEW = 1000    # result rows whose ids are named in a filter
+
 
 def search_results(index: Index, query: str | None, k: int = 10, width: int = WIDTH) -> DataFrame:
     """``path, snippet, score, last_modified`` of the best k documents, best first.
 
-    The ids of the k rows prune the scan of the texts by the statistics of its row
-    groups, as the files of a bucket are sorted by id; with no limit they are joined.
+    The ids of a few rows prune the scan of the texts by the statistics of its row
+    groups, as the files of a bucket are sorted by id; more of them are joined.
     """
     corpus = index.corpus()
     best = materialize(search(corpus, query, k), "results")
     texts = index.documents()
-    if k >= 0:
+    if 0 <= k <= FEW:
         texts = texts.where(F.col("doc_id").isin([r["doc_id"] for r in best.select("doc_id").collect()]))
+    else:
+        texts = texts.join(best.select("doc_id"), "doc_id", "left_semi")
     named = best.join(texts.select("doc_id", "path", "last_modified"), "doc_id")
     units = list(classify_query(query, corpus.stem).units)
     rows = with_snippets(named, texts, units, corpus.stem, width, text_col="content")

@@ -5,14 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import iso_time
 from ..operators.changes import latest_versions
-from ..plans.index import Index, apply_changes, open_index
+from ..plans.index import Index, apply_changes, doc_bucket_of, merge_segments, open_index
 from ..plans.refresh import RefreshReport, refresh
 from ..plans.workdir import materialize
 from ..sources.files import check_scan_options
@@ -34,17 +33,6 @@ def feed_changes(feed: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("error"), iso_time("mtime").alias("last_modified"))
 
 
-def _deletions(spark: SparkSession, location: str) -> DataFrame:
-    """(path, deleted_at): the newest deletion that a feed brought for each path."""
-    try:
-        found = spark.read.schema("path string, mtime double").parquet(f"{location}/deletions")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = spark.createDataFrame([], "path string, mtime double")
-    return found.groupBy("path").agg(F.max("mtime").alias("deleted_at"))
-
-
 def not_outdated(changes: DataFrame, index: Index | None) -> DataFrame:
     """Changes that are not older than what is stored, or was deleted, of their path.
 
@@ -53,8 +41,9 @@ def not_outdated(changes: DataFrame, index: Index | None) -> DataFrame:
     """
     if index is None:
         return changes
-    stored = index.metadata().select("path", F.col("mtime").alias("stored_at"))
-    gone = _deletions(index.spark, index.location)
+    touched = [r[0] for r in changes.select(doc_bucket_of("path", index.doc_buckets)).distinct().collect()]
+    stored = index.metadata(touched).select("path", F.col("mtime").alias("stored_at"))
+    gone = index.deletions()
     mtime, deletes = F.col("mtime"), F.col("status") == "deleted"
     after_stored = F.coalesce(mtime >= F.col("stored_at"), F.lit(True))
     after_gone = F.coalesce(F.when(deletes, mtime >= F.col("deleted_at"))
@@ -65,12 +54,13 @@ def not_outdated(changes: DataFrame, index: Index | None) -> DataFrame:
 
 def stream_index(feed: DataFrame, location: str, checkpoint: str, trigger: dict | None = None,
                  **options) -> StreamingQuery:
-    """Apply a stream of changes to an index, one generation per micro-batch.
+    """Apply a stream of changes to an index, one segment per micro-batch.
 
-    The manifest records the last batch of every stream, so that one replayed after a
+    The commit records the last batch of every stream, so that one replayed after a
     failure is not applied twice. Versions may arrive in any order: an older one than
     the stored one is passed over, and so is one from before a deletion, whose paths
-    and times are kept in ``deletions``. ``trigger`` defaults to what is available now.
+    and times are kept in ``deletions``. Segments are merged as they grow in number.
+    ``trigger`` defaults to what is available now.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -78,12 +68,9 @@ def stream_index(feed: DataFrame, location: str, checkpoint: str, trigger: dict
         if index is not None and index.streams.get(checkpoint, -1) >= batch_id:
             return
         changes = materialize(not_outdated(feed_changes(batch), index), "feed")
-        # Written before the generation they belong to, and again if that is done anew.
-        generation = 0 if index is None else index.generation + 1
-        (changes.where("status = 'deleted'").select("path", "mtime").write.mode("overwrite")
-         .parquet(f"{location}/deletions/generation={generation}"))
         apply_changes(spark, location, changes, time.time(), stream=checkpoint, batch_id=batch_id,
                       **options)
+        merge_segments(spark, location)
 
     return (feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
