@@ -171,6 +171,7 @@ def skewed(spark, tmp_path_factory):
                                       (["rare", "rare", "the"], 20), (["rare", "nowhere", "of"], 3), (["nowhere"], 3),
                                       (["scarce", "data"], 2000)])
 def test_best_of_any_equals_all_rows(skewed, monkeypatch, words, k):
+    monkeypatch.setattr("textloom.operators.corpus.FEW_ROWS", 0)
     bounded = [tuple(r) for r in se.search_terms(skewed.corpus(), words, "any", k=k).collect()]
     with monkeypatch.context() as m:
         m.setattr(PostingsCorpus, "best_of_any", lambda *a: None)
@@ -178,7 +179,8 @@ def test_best_of_any_equals_all_rows(skewed, monkeypatch, words, k):
     assert bounded == full and (full or words == ["nowhere"])
 
 
-def test_best_of_any_reads_fewer_rows(skewed):
+def test_best_of_any_reads_fewer_rows(skewed, monkeypatch):
+    monkeypatch.setattr("textloom.operators.corpus.FEW_ROWS", 0)
     corpus, units = skewed.corpus(), se._units(skewed.corpus(), ["rare", "the", "of"])
     all_rows = corpus.hits(units).frame.agg(F.sum(F.expr("int(tf_0 > 0) + int(tf_1 > 0) + int(tf_2 > 0)"))).first()[0]
     found = corpus.best_of_any(units, 10)

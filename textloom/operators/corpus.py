@@ -21,8 +21,9 @@ from .classify import Unit
 
 # Bytes one document id takes in a broadcast relation, counted generously.
 _BYTES_PER_ID = 64
-MOST_TERMS = 1000      # terms of a prefix that are looked up one by one
+MOST_TERMS = 64        # terms of a prefix that are looked up one by one; more lie in all buckets
 MOST_BLOCKS = 256      # blocks that are named in a filter
+FEW_ROWS = 1 << 20     # postings that are read as they are, as bounds take further jobs
 
 
 @dataclass(frozen=True)
@@ -47,12 +48,20 @@ def pos_name(i: int) -> str:
     return f"pos_{i}"
 
 
+def _joined(conditions: list[Column], join) -> Column:
+    """In halves, so that many conditions make no deep expression."""
+    if len(conditions) == 1:
+        return conditions[0]
+    middle = len(conditions) // 2
+    return join(_joined(conditions[:middle], join), _joined(conditions[middle:], join))
+
+
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    return _joined(conditions, lambda a, b: a | b)
 
 
 def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    return _joined(conditions, lambda a, b: a & b)
 
 
 class Corpus(ABC):
@@ -219,7 +228,7 @@ class PostingsCorpus(Corpus):
         wanted = F.col("term").isin(*terms)
         if self.bucket is None:
             return wanted
-        return any_of([F.col("term_bucket") == self.bucket(F.lit(t)) for t in terms]) & wanted
+        return F.col("term_bucket").isin(*[self.bucket(F.lit(t)) for t in terms]) & wanted
 
     def _terms_from(self, prefix: str) -> list[str] | None:
         """The terms that begin so, from the dictionary; None if there are very many."""
@@ -265,7 +274,7 @@ class PostingsCorpus(Corpus):
         The words that can add most give a score that the k-th document reaches at least.
         Words which together stay below it can't bring a document in by themselves: their
         postings are only read in the blocks where they can still make a difference to a
-        document that the others found. None if all rows are to be read.
+        document that the others found. None if all rows are to be read, as when they are few.
         """
         if self.parts is None or k < 1 or any(u.prefix or u.first or len(u.terms) != 1 for u in units):
             return None
@@ -273,6 +282,8 @@ class PostingsCorpus(Corpus):
         self._term_dfs(words)
         avg = self.total_len / self.n_docs if self.n_docs and self.total_len else 1.0
         found = [w for w in dict.fromkeys(words) if self._known[w].df]
+        if sum(self._known[w].df for w in found) <= FEW_ROWS:
+            return None
         times = {w: words.count(w) for w in found}
         idf = {w: bm25.idf_value(self.n_docs, self._known[w].df) for w in found}
         bound = {w: times[w] * bm25.part_value(self._known[w].max_tf, self._known[w].min_len, idf[w], avg) for w in found}
