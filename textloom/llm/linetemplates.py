@@ -112,8 +112,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float =
     text = as_text(f"row.`{text_col}`")
     whole = rows.join(marks, is_marked, "left_anti").select(
         "row", text.alias("kept_text"), _n_lines(text).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    # Texts are cut after the join, so that they move once.
-    cut = (rows.join(marks, is_marked, "left_semi").join(dropped, F.col("key") == F.col("d_key"), "left")
+    # Texts are cut after the join, so that they move once. The join is the same at every size:
+    # what is dropped grows with the table.
+    cut = (rows.join(marks, is_marked, "left_semi").join(dropped.hint("merge"), F.col("key") == F.col("d_key"), "left")
            .select("row", "dropped", F.split(text, "\n", -1).alias("lines")))
     none = F.array().cast("array<int>")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", none))
