@@ -32,7 +32,8 @@ try:
     from textloom.llm.queries import SQL as LLM_SQL
 except ModuleNotFoundError as error:
     # The subpackage and its pipeline may be left out of an installation.
-    if not (error.name or "").startswith(("textloom.llm", "corpus_pipeline")):
+    # So may the libraries that only they use.
+    if (error.name or "").startswith(("textloom.", "pyspark")) and not error.name.startswith("textloom.llm"):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
 
@@ -384,6 +385,11 @@ def q_apply_refresh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("doc_len").alias("lens"))
 
 
+def q_index_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary after the refresh: sums of what each segment added and took away."""
+    return _refreshed(spark, sf_dir).terms()
+
+
 def q_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a change feed, streamed into an index."""
     feed_dir, location, offsets = (new_path(spark, n) for n in ("feed", "index", "offsets"))
@@ -464,6 +470,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_latest_versions": q_latest_versions,
         "q_apply_refresh": q_apply_refresh,
         "q_apply_refresh_terms": q_apply_refresh_terms,
+        "q_index_dictionary": q_index_dictionary,
         "q_stream_index": q_stream_index,
         "q_refresh_tree": q_refresh_tree,
         "q_indexed_files_view": q_indexed_files_view,
@@ -687,31 +694,31 @@ def _porter_sql(terms: str) -> str:
     """CTEs that end in stems(term, stem) for the rows of ``terms(term)``."""
     m0, m1 = f"regexp_matches({_shape('s')}, 'vc')", f"regexp_matches({_shape('s')}, 'vc.*vc')"
     vowel = f"contains({_shape('s')}, 'v')"
-    return f"""{terms}, a0 as (select term, term as w from terms
+    return f"""{terms}, a0 as materialized (select term, term as w from terms
         where octet_length(encode(term)) between 3 and 64),
-    a as (select term, case when w like '_%sses' or w like '_%ies' then w[:-3] when w like '_%ss' then w
+    a as materialized (select term, case when w like '_%sses' or w like '_%ies' then w[:-3] when w like '_%ss' then w
         when w like '_%s' then w[:-2] else w end as w from a0),
     {_split('b0', 'a', ('eed', 'ed', 'ing'))},
-    b as (select term, case when e = 'eed' then case when {m0} then s || 'ee' else w end
+    b as materialized (select term, case when e = 'eed' then case when {m0} then s || 'ee' else w end
         when e <> '' and {vowel} then
           case when regexp_matches(s, '.(at|bl|iz)$') then s || 'e'
                when len(s) > 1 and s[-1] = s[-2] and regexp_matches(s, '[^aeioulsz]$') then s[:-2]
                when {m0} and not {m1} and {_short_end('s')} then s || 'e' else s end
         else w end as w from b0),
-    c as (select term, case when w like '%y' and contains({_shape('w[:-2]')}, 'v')
+    c as materialized (select term, case when w like '%y' and contains({_shape('w[:-2]')}, 'v')
         then w[:-2] || 'i' else w end as w from b),
     {_split('d0', 'c', STEP2)},
-    dd as (select term, case when e <> '' and {m0} then s || {_cases(STEP2)} else w end as w from d0),
+    dd as materialized (select term, case when e <> '' and {m0} then s || {_cases(STEP2)} else w end as w from d0),
     {_split('e0', 'dd', STEP3)},
-    f as (select term, case when e <> '' and {m0} then s || {_cases(STEP3)} else w end as w from e0),
+    f as materialized (select term, case when e <> '' and {m0} then s || {_cases(STEP3)} else w end as w from e0),
     {_split('g0', 'f', STEP4)},
-    g as (select term, case when e <> '' and {m1} and (e <> 'ion' or regexp_matches(s, '[st]$'))
+    g as materialized (select term, case when e <> '' and {m1} and (e <> 'ion' or regexp_matches(s, '[st]$'))
         then s else w end as w from g0),
-    h0 as (select term, w, w[:-2] as s from g),
-    h as (select term, case when w like '%e' and ({m1} or ({m0} and not {_short_end('s')}))
+    h0 as materialized (select term, w, w[:-2] as s from g),
+    h as materialized (select term, case when w like '%e' and ({m1} or ({m0} and not {_short_end('s')}))
         then s else w end as w from h0),
-    i0 as (select term, w, w[:-2] as s from h),
-    stemmed as (select term, case when w like '%ll' and {m1} then s else w end as stem from i0),
+    i0 as materialized (select term, w, w[:-2] as s from h),
+    stemmed as materialized (select term, case when w like '%ll' and {m1} then s else w end as stem from i0),
     stems as (select term, coalesce(stem, term) as stem from terms left join stemmed using (term))"""
 
 

@@ -39,10 +39,8 @@ def _unit_hits(corpus: Corpus, units: DataFrame) -> DataFrame:
     distinct = units.select("unit_id", "terms", "first").dropDuplicates(["unit_id"])
     words = distinct.select("unit_id", "first", F.size("terms").alias("n_terms"),
                             F.posexplode("terms").alias("offset", "term"))
-    postings = corpus.postings()
-
     plain = words.where((F.col("n_terms") == 1) & ~F.col("first")).select("unit_id", "term")
-    single = postings.join(plain, "term").select("unit_id", "doc_id", "doc_len", "tf")
+    single = corpus.postings_of(plain).select("unit_id", "doc_id", "doc_len", "tf")
 
     if units.where((F.size("terms") > 1) | F.col("first")).isEmpty():
         return single
@@ -51,7 +49,7 @@ def _unit_hits(corpus: Corpus, units: DataFrame) -> DataFrame:
     # words; it does start where all of them agree.
     in_phrase = words.where((F.col("n_terms") > 1) | F.col("first"))
     offset = F.col("offset")
-    rows = postings.join(in_phrase, "term").select(
+    rows = corpus.postings_of(in_phrase).select(
         "unit_id", "first", "n_terms", "doc_id", "doc_len",
         F.transform("positions", lambda p: p - offset).alias("starts"))
     grouped = rows.groupBy("unit_id", "doc_id").agg(

@@ -84,6 +84,10 @@ class Corpus(ABC):
     def postings(self) -> DataFrame:
         """Postings of all terms."""
 
+    def postings_of(self, words: DataFrame) -> DataFrame:
+        """Postings joined with rows that have a ``term``."""
+        return self.postings().join(words, "term")
+
     @abstractmethod
     def totals(self) -> tuple[int, int]:
         """Number of documents, number of tokens."""
@@ -202,6 +206,13 @@ class PostingsCorpus(Corpus):
     def postings(self):
         return self.table
 
+    def postings_of(self, words):
+        """The buckets of the words prune the partitions of the postings when the job runs."""
+        if self.bucket is None:
+            return super().postings_of(words)
+        wanted = words.withColumn("term_bucket", self.bucket("term")).where("term_bucket >= 0")
+        return self.table.join(wanted, ["term_bucket", "term"])
+
     def dictionary(self, wanted: Column | None = None) -> DataFrame:
         """(term, df, cf, max_tf, min_len, blocked) of the terms that some document holds."""
         parts = self.parts if wanted is None else self.parts.where(wanted)

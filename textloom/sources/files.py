@@ -2,10 +2,9 @@
 
 Two listings give the same columns ``path, size, mtime``:
 
-* ``tree`` (default) is a Python data source. It keeps empty files and names
-  that start with ``_`` or ``.``, which Spark's file sources skip. The driver
-  only walks directory names; the files of each directory are listed and
-  stat-ed by tasks. The tree must be mounted at the same place on all executors.
+* ``tree`` (default) lists directories in tasks, level by level. It keeps empty files and
+  names that start with ``_`` or ``.``, which Spark's file sources skip. The tree must
+  be mounted at the same place on all executors.
 * ``binaryFile`` works on every file system Spark can reach (object stores,
   HDFS) and skips those files.
 
@@ -16,48 +15,23 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import filetypes as ft
 from ..functions.times import iso_time
+from ..plans.workdir import materialize
 
 LISTING_SCHEMA = "path string, size long, mtime double"
-_LISTING_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64())])
+_LEVEL_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("folder", pa.string())])
 _BATCH_ROWS = 4096
 _BATCH_BYTES = 32 << 20
 _FOLDERS_PER_TASK = 64
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = options["path"]
-        self.skipped = {d for d in [options.get("exclude_dir")] if d}
-
-    def partitions(self):
-        found = []
-        for folder, subfolders, _ in os.walk(self.root, onerror=_not_gone):
-            if os.path.realpath(folder) in self.skipped:
-                subfolders.clear()
-                continue
-            found.append(folder)
-        tasks = -(-len(found) // _FOLDERS_PER_TASK) or 1
-        return [InputPartition(tuple(found[i::tasks])) for i in range(tasks)]
-
-    def read(self, partition):
-        rows = []
-        for folder in partition.value:
-            for path, size, mtime in _list_directory(folder):
-                rows.append((path, size, mtime))
-                if len(rows) >= _BATCH_ROWS:
-                    yield _listing_batch(rows)
-                    rows = []
-        yield _listing_batch(rows)
-
-
 def _not_gone(error: OSError) -> None:
     """A directory that can't be listed fails the scan: its files would count as deleted."""
     if not isinstance(error, FileNotFoundError):
@@ -82,24 +56,35 @@ def _list_directory(folder: str) -> Iterator[tuple[str, int, float]]:
             yield os.path.join(folder, entry.name), stat.st_size, stat.st_mtime
 
 
-def _listing_batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, _LISTING_ARROW)], schema=_LISTING_ARROW)
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("textloom_tree").load(directory)``."""
+def _subfolders(folder: str, skipped: str | None) -> Iterator[str]:
+    """The directories in a directory; links are not followed, and one that is gone has none."""
+    try:
+        entries = os.scandir(folder)
+    except OSError as error:
+        _not_gone(error)
+        return
+    with entries:
+        for entry in entries:
+            if entry.is_dir(follow_symlinks=False) and os.path.realpath(entry.path) != skipped:
+                yield entry.path
 
-    @classmethod
-    def name(cls):
-        return "textloom_tree"
 
-    def schema(self):
-        return LISTING_SCHEMA
+def _lister(skipped: str | None):
+    """Rows of the files and, with a null path, of the directories in each directory."""
+    def listed(folders):
+        for folder in folders:
+            for path, size, mtime in _list_directory(folder):
+                yield path, size, mtime, None
+            for sub in _subfolders(folder, skipped):
+                yield None, None, None, sub
 
-    def reader(self, schema):
-        return TreeReader(self.options)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = listed(batch.column("folder").to_pylist())
+            while part := list(islice(rows, _BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _LEVEL_ARROW)],
+                                                 schema=_LEVEL_ARROW)
+    return run
 
 
 def check_scan_options(source: str, index_dir: str | None = None, include: Iterable[str] = (),
@@ -129,11 +114,24 @@ def resolve_path(source: str, filepath: str) -> str:
 
 
 def list_tree(spark: SparkSession, source: str, exclude_dir: str | None = None) -> DataFrame:
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("textloom_tree")
-    if exclude_dir:
-        reader = reader.option("exclude_dir", os.path.realpath(exclude_dir))
-    return reader.load(os.path.abspath(source))
+    """``path, size, mtime`` of all files below a directory, on the executors.
+
+    A job for each level of the tree: its directories are a table, which is spread over
+    all tasks. The driver only asks if there is another level.
+    """
+    skipped = os.path.realpath(exclude_dir) if exclude_dir else None
+    root, files = os.path.abspath(source), None
+    folders = spark.createDataFrame([(root,)] if os.path.realpath(root) != skipped else [], "folder string")
+    while True:
+        level = materialize(folders.mapInArrow(_lister(skipped), f"{LISTING_SCHEMA}, folder string"), "listing")
+        found = level.where("path is not null").drop("folder")
+        files = found if files is None else files.unionByName(found)
+        folders = level.where("folder is not null").select("folder")
+        n = folders.count()
+        if not n:
+            return files
+        # So many directories to a task that small levels need no more than one.
+        folders = folders.repartition(-(-n // _FOLDERS_PER_TASK), "folder")
 
 
 def binary_files(spark: SparkSession, source: str) -> DataFrame:
