@@ -31,8 +31,8 @@ try:
     from textloom.llm.queries import QUERIES as LLM_QUERIES
     from textloom.llm.queries import SQL as LLM_SQL
 except ModuleNotFoundError as error:
-    # The subpackage and its pipeline may be left out of an installation.
-    # So may the libraries that only they use.
+    # The subpackage and its pipeline may be left out of an installation, and so may the
+    # libraries that only they use.
     if (error.name or "").startswith(("textloom.", "pyspark")) and not error.name.startswith("textloom.llm"):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
@@ -858,6 +858,10 @@ def oracle_sql() -> dict[str, str]:
             p as (select term, doc_id, dl, count(*) as tf from x group by all)
             select term, count(*) as df, cast(sum(tf) as bigint) as cf, cast(sum(dl) as bigint) as lens
             from p group by term""",
+        "q_index_dictionary": f"""with {_CHANGED_DOCS}, d as (
+            select doc_id, {_toks('content')} as t from stored),
+            x as (select doc_id, unnest(t) as term from d)
+            select term, count(distinct doc_id) as df, count(*) as cf from x group by term""",
         "q_stream_index": """with last as (select * from conversations
             qualify row_number() over (partition by conv_id order by turn desc, turn % 5 = 3 desc) = 1)
             select cast(conv_id as varchar) as path, md5(text) as digest,
