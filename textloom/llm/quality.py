@@ -1,31 +1,40 @@
 """Quality rules with thresholds from quantile sketches, native columns only.
 
-Each (language, source) has KLL sketches of its documents' figures. Sketches merge, so
-a group of few documents takes its language's sketch and a language of few documents
-that of everything, without another pass. A figure is out of bounds if it lies further
-from the middle half of its group than ``reach`` times that half's width; ``least``
-is the narrowest width assumed, as most groups have no symbols at all.
+Each (language, source) has a sketch of its documents' figures: how many fall into each of
+the buckets that grow by a constant ratio (a DDSketch). Counts add up, so sketches merge:
+a group of few documents takes its language's sketch and a language of few documents that
+of everything, without another pass over texts. A sketch never depends on the order of
+rows, so that runs agree. Documents that fail the base rule are in no sketch.
+
+A figure is out of bounds if it lies further from the middle eight tenths of its group
+than ``reach`` times their width, and by more than ``STRAY`` of the things counted: a group
+without any symbols says nothing on how far a document may go, four of them may be chance.
 
 Defined cases: a null text is an empty one and fails the base rule; null languages and
 sources are groups of their own; equal rows are judged alike; figures without words
-are 0; an empty table gives an empty result. Windows are compared by 64-bit hashes.
+are 0; an empty table gives an empty result, and of a group whose rows all fail
+none is kept. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.columns import as_text, words_of
 from textloom.plans.workdir import materialize
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-SKETCH_K = 1600        # sketch size: a rank is off by about 0.2 % at most; exact up to this many rows
+STEPS = 128            # buckets while a figure grows e-fold: a bound is off by 0.8 % at most
 FEWEST = 30            # documents that a group needs to have its own thresholds
-REACH = 4.0
-# figure: narrowest width assumed
-FIGURES = {"symbol_share": 0.05, "word_length": 0.5, "dup_line_share": 0.1}
+REACH = 2.0
+STRAY = 4.0
+ZERO = -(1 << 30)      # below all buckets
+LOW, HIGH = 1, 9       # tenths of a group below its middle part, and up to its end
+# figure: of how many things it is a share or a mean
+FIGURES = {"symbol_share": "n_words", "word_length": "n_words", "dup_line_share": "n_lines"}
 
 
 def _covered(words: Column) -> Column:
@@ -72,37 +81,64 @@ def with_verdict_inputs(figures: DataFrame) -> DataFrame:
                           share("n_dup_lines", "n_lines").alias("dup_line_share"))
 
 
-def thresholds(figures: DataFrame, reach: float = REACH, fewest: int = FEWEST,
-               k: int = SKETCH_K) -> DataFrame:
-    """One row per (lang, source): the bounds <figure>_low and <figure>_high."""
-    names = list(FIGURES)
-    fine = materialize(figures.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f, F.lit(k)).alias(f) for f in names]),
-        "quality-sketches")
-    merged = [F.kll_merge_agg_double(f, F.lit(k)).alias(f) for f in names]
-    by_lang = fine.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    total = fine.agg(*merged)
-    by_lang = by_lang.select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"),
-                             *[F.col(f).alias(f"l_{f}") for f in names])
-    total = total.select(*[F.col(f).alias(f"t_{f}") for f in names])
-    joined = fine.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(F.broadcast(total))
+def sketches(figures: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, figure, bucket, n: the rows past the base rule whose figure is in the bucket.
+
+    A bucket is null for 0. There are some thousand buckets at most, however many rows.
+    """
+    bucket = lambda f: F.when(F.col(f) > 0, F.floor(F.ln(f) * STEPS).cast("int"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), bucket(f).alias("bucket")) for f in FIGURES]))
+    return (figures.where(~F.col("base_failed")).select(*by, each.alias("at"))
+            .groupBy(*by, "at.figure", "at.bucket").agg(F.count(F.lit(1)).alias("n")))
+
+
+def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
+    return sketch.groupBy(*by, "figure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quantiles(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """One row per group: its rows and both ends of the middle part of each figure.
+
+    The ends are edges of buckets, so that the middle part is never cut short.
+    """
+    group = Window.partitionBy(*by, "figure")
+    ranked = sketch.select(
+        *by, "figure", "bucket", F.sum("n").over(group).alias("rows"),
+        F.sum("n").over(group.orderBy(F.asc_nulls_first("bucket"))).alias("up_to"))
+    first = lambda f, tenths: F.min(F.when(
+        (F.col("figure") == f) & (10 * F.col("up_to") >= tenths * F.col("rows")), F.coalesce("bucket", F.lit(ZERO))))
+    edge = lambda b, up: F.when(b > ZERO, F.exp((b + up) / STEPS)).otherwise(0.0)
+    ends = ranked.groupBy(*by).agg(F.max("rows").alias("rows"), *[
+        first(f, tenths).alias(f"{f}_{end}") for f in FIGURES for end, tenths in (("low", LOW), ("high", HIGH))])
+    return ends.select(
+        *[F.col(c).alias(f"{prefix}{c}") for c in by], F.col("rows").alias(f"{prefix}rows"),
+        *[edge(F.col(f"{f}_{end}"), up).alias(f"{prefix}{f}_{end}")
+          for f in FIGURES for end, up in (("low", 0), ("high", 1))])
+
+
+def thresholds(figures: DataFrame, reach: float = REACH, fewest: int = FEWEST) -> DataFrame:
+    """One row per (lang, source) that has rows past the base rule: <figure>_low and <figure>_high."""
+    fine = materialize(sketches(figures, ["lang", "source"]), "quality-sketches")
+    by_lang = merged(fine, ["lang"])
+    own = quantiles(fine, ["lang", "source"], "")
+    joined = (own.join(quantiles(by_lang, ["lang"], "l_"), F.col("lang").eqNullSafe(F.col("l_lang")))
+              .crossJoin(F.broadcast(quantiles(merged(by_lang, []), [], "t_"))))  # one row
     bounds = []
-    for f, least in FIGURES.items():
-        sketch = F.when(F.col("n") >= fewest, F.col(f)).when(
-            F.col("l_n") >= fewest, F.col(f"l_{f}")).otherwise(F.col(f"t_{f}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        joined = joined.withColumn(f"{f}_q1", low).withColumn(f"{f}_q3", high)
-        width = reach * F.greatest(F.col(f"{f}_q3") - F.col(f"{f}_q1"), F.lit(least))
-        bounds += [(F.col(f"{f}_q1") - width).alias(f"{f}_low"), (F.col(f"{f}_q3") + width).alias(f"{f}_high")]
+    for f in FIGURES:
+        low, high = (F.when(F.col("rows") >= fewest, F.col(f"{f}_{end}"))
+                     .when(F.col("l_rows") >= fewest, F.col(f"l_{f}_{end}")).otherwise(F.col(f"t_{f}_{end}"))
+                     for end in ("low", "high"))
+        bounds += [(low - reach * (high - low)).alias(f"{f}_low"), (high + reach * (high - low)).alias(f"{f}_high")]
     return materialize(joined.select("lang", "source", *bounds), "quality-bounds")
 
 
 def judged(figures: DataFrame, bounds: DataFrame) -> DataFrame:
     """``figures`` with kept: neither failed by the base rule nor out of its group's bounds."""
     b = bounds.withColumnsRenamed({"lang": "b_lang", "source": "b_source"})
-    inside = F.lit(True)
-    for f in FIGURES:
-        inside = inside & F.col(f).between(F.col(f"{f}_low"), F.col(f"{f}_high"))
+    inside = ~F.col("base_failed")
+    for f, things in FIGURES.items():
+        stray = F.when(F.col(things) > 0, STRAY / F.col(things)).otherwise(0.0)
+        inside = inside & F.col(f).between(F.col(f"{f}_low") - stray, F.col(f"{f}_high") + stray)
     return (figures.join(b, F.col("lang").eqNullSafe(F.col("b_lang"))
-                         & F.col("source").eqNullSafe(F.col("b_source")))
-            .withColumn("kept", ~F.col("base_failed") & inside).drop("b_lang", "b_source"))
+                         & F.col("source").eqNullSafe(F.col("b_source")), "left")
+            .withColumn("kept", F.coalesce(inside, F.lit(False))).drop("b_lang", "b_source"))

@@ -124,17 +124,33 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_Q4 = "".join(f""",
-    coalesce(case when n >= 30 then g{q}_{f} when l_n >= 30 then l{q}_{f} else t{q}_{f} end, 0) as {f}_q{q}"""
-              for f in quality.FIGURES for q in (1, 3))
+def _sketch(f: str) -> str:
+    return f"""select lang, source, '{f}' as figure, case when {f} > 0
+        then cast(floor(ln({f}) * {quality.STEPS}) as int) else -1000000 end as bucket, count(*) as n
+        from v where not base_failed group by all"""
+
+
+def _ends(by: str) -> str:
+    """Rows of a group and both ends of the middle eight tenths of each figure, as edges of buckets."""
+    ends = "".join(f""",
+        min(bucket) filter (figure = '{f}' and 10 * up_to >= {tenths} * total) as {f}_{end}"""
+                   for f in quality.FIGURES for end, tenths in (("low", 1), ("high", 9)))
+    edges = "".join(f""",
+        case when {f}_{end} > -1000000 then exp(({f}_{end} + {up}) / {quality.STEPS}.0) else 0 end as {f}_{end}"""
+                    for f in quality.FIGURES for end, up in (("low", 0), ("high", 1)))
+    return f"""select {by} total {edges} from (select {by} max(total) as total {ends} from (
+        select {by} figure, bucket, sum(n) over (partition by {by} figure) as total,
+            sum(n) over (partition by {by} figure order by bucket) as up_to
+        from (select {by} figure, bucket, sum(n) as n from f group by all)) group by all)"""
 
 
-def _quantiles(letter: str, by: str) -> str:
-    """The smallest value that a quarter, or three, of the rows do not exceed."""
-    columns = "".join(f""",
-        list_sort(list({f}))[cast(ceil(0.25 * count(*)) as int)] as {letter}1_{f},
-        list_sort(list({f}))[cast(ceil(0.75 * count(*)) as int)] as {letter}3_{f}""" for f in quality.FIGURES)
-    return f"select {by} count(*) as {letter}_n {columns} from v {'group by all' if by else ''}"
+_Q4 = "".join(f""",
+    case when gg.total >= 30 then gg.{f}_{e} when ll.total >= 30 then ll.{f}_{e} else tt.{f}_{e} end as {f}_{e}"""
+              for f in quality.FIGURES for e in ("low", "high"))
+_INSIDE = "".join(f"""
+        and {f} between {f}_low - 2.0 * ({f}_high - {f}_low) - case when {n} > 0 then 4.0 / {n} else 0 end
+            and {f}_high + 2.0 * ({f}_high - {f}_low) + case when {n} > 0 then 4.0 / {n} else 0 end"""
+                  for f, n in quality.FIGURES.items())
 
 
 _OP4 = rf"""with w as (select doc_id, lang, source, coalesce(text, '') as text,
@@ -153,14 +169,12 @@ _OP4 = rf"""with w as (select doc_id, lang, source, coalesce(text, '') as text,
         case when n_words > 0 then n_symbols / n_words else 0 end as symbol_share,
         case when n_words > 0 then word_chars / n_words else 0 end as word_length,
         case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_share from u),
-    gg as ({_quantiles('g', 'lang, source,')}), ll as ({_quantiles('l', 'lang,')}), tt as ({_quantiles('t', '')}),
-    b as (select gg.lang, gg.source{_Q4.replace('when n >=', 'when g_n >=')} from gg
-          join ll on gg.lang is not distinct from ll.lang, tt)
+    f as ({" union all ".join(_sketch(f) for f in quality.FIGURES)}),
+    gg as ({_ends('lang, source,')}), ll as ({_ends('lang,')}), tt as ({_ends('')}),
+    b as (select gg.lang, gg.source {_Q4} from gg join ll on gg.lang is not distinct from ll.lang, tt)
     select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        not base_failed {"".join(f'''
-        and {f} between {f}_q1 - 4.0 * greatest({f}_q3 - {f}_q1, {least}) and {f}_q3 + 4.0 * greatest({f}_q3 - {f}_q1, {least})'''
-                                 for f, least in quality.FIGURES.items())} as kept
-    from v join b on v.lang is not distinct from b.lang and v.source is not distinct from b.source"""
+        coalesce(not base_failed {_INSIDE}, false) as kept
+    from v left join b on v.lang is not distinct from b.lang and v.source is not distinct from b.source"""
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
