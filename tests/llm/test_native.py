@@ -183,7 +183,12 @@ def test_preferences(spark):
     b = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "less"), (1, 3, "assistant", "yes"),
          (2, 0, "user", "same"), (2, 1, "assistant", "same"), (3, None, None, None), (3, 0, "user", "y")]
     out = preferences.format_preferences(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind))
-    got = {r["pair_id"]: r.asDict() for r in preferences.assembled(out).collect()}
+    assert out.where("part >= 0").count() == 4  # a null turn number is in a part of its own
+    got = {}
+    for r in out.orderBy("pair_id", "part").collect():
+        known = got.setdefault(r["pair_id"], r.asDict())
+        if known["part"] != r["part"]:
+            got[r["pair_id"]] = r.asDict() | {p: known[p] + r[p] for p in ("prompt", "chosen", "rejected")}
     turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     assert set(got) == {1, 2, 3, 4}
     assert got[1]["prompt"] == turn("user", "hi") + turn("assistant", "hello")
@@ -196,3 +201,24 @@ def test_preferences(spark):
     assert got[4]["prompt"] == "" and got[4]["rejected"] == "" and got[4]["chosen"] == turn("assistant", "only chosen")
     none = spark.createDataFrame([], kind)
     assert preferences.format_preferences(none, none).count() == 0
+
+
+def test_preferences_in_parts(spark):
+    """A long conversation in parts says the same as in one row; differing turns of one number are no prefix."""
+    kind = "pair_id long, turn long, role string, text string"
+    role = lambda i: "assistant" if i % 2 else "user"
+    a = [(1, i, role(i), f"turn {i}") for i in range(40)] + [(2, 0, "user", "x"), (2, 1, "user", "a"), (2, 1, "user", "b")]
+    b = [(1, i, role(i), f"turn {i}" if i < 21 else f"other {i}") for i in range(30)] + [(2, 0, "user", "x"), (2, 1, "user", "a")]
+    a, b = (spark.createDataFrame(x, kind) for x in (a, b))
+    whole = {r["pair_id"]: r for r in preferences.format_preferences(a, b).collect()}
+    assert whole[1]["prompt"].count("<|im_start|>") == 21 and whole[1]["rejected"].count("<|im_start|>") == 9
+    assert whole[2]["prompt"].count("<|im_start|>") == 1 and whole[2]["chosen"].count("<|im_start|>") == 2
+    parts = preferences.format_preferences(a, b, part_bits=3).orderBy("pair_id", "part").collect()
+    assert [r["part"] for r in parts] == [0, 1, 2, 3, 4, 0]
+    for p in ("prompt", "chosen", "rejected"):
+        assert "".join(r[p] for r in parts if r["pair_id"] == 1) == whole[1][p]
+    for rows in (parts, whole.values()):
+        trained = [r[p][s["start"]:s["end"]] for r in rows if r["pair_id"] == 1
+                   for p in ("chosen", "rejected") for s in r[f"{p}_spans"]]
+        assert sorted(trained) == sorted([f"turn {i}<|im_end|>" for i in range(21, 40, 2)]
+                                         + [f"other {i}<|im_end|>" for i in range(21, 30, 2)])

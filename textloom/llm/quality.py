@@ -88,8 +88,9 @@ def sketches(figures: DataFrame, by: list[str]) -> DataFrame:
     """
     bucket = lambda f: F.when(F.col(f) > 0, F.floor(F.ln(f) * STEPS).cast("int"))
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), bucket(f).alias("bucket")) for f in FIGURES]))
-    return (figures.where(~F.col("base_failed")).select(*by, each.alias("at"))
-            .groupBy(*by, "at.figure", "at.bucket").agg(F.count(F.lit(1)).alias("n")))
+    # Counted and not filtered: a filter would be pushed to where the figures are made, and make them anew.
+    return (figures.select(*by, "base_failed", each.alias("at")).groupBy(*by, "at.figure", "at.bucket")
+            .agg(F.count_if(~F.col("base_failed")).alias("n")).where("n > 0"))
 
 
 def merged(sketch: DataFrame, by: list[str]) -> DataFrame:

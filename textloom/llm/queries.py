@@ -40,7 +40,10 @@ def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = chosen.join(split, "pair_id").where("turn < at").select("pair_id", "turn", "role", "text")
     answer = split.join(other, "pair_id").select("pair_id", F.col("at").alias("turn"),
                                                  F.lit("assistant").alias("role"), "text")
-    return preferences.format_preferences(chosen, before.unionByName(answer))
+    formatted = preferences.format_preferences(chosen, before.unionByName(answer))
+    return formatted.select("pair_id", "part", "prompt", "chosen", "rejected", *[
+        F.array_join(F.transform(p, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(p)
+        for p in ("chosen_spans", "rejected_spans")])
 
 
 _OP1 = r"""with last as (
@@ -52,17 +55,24 @@ _OP1 = r"""with last as (
           select a.conv_id, a.at, 'assistant', b.text from last a join last b on b.conv_id = a.conv_id + 1),
     t as (select pair_id, turn, role, text, bool_or(side = 1) as in_c, bool_or(side = 2) as in_r from
           (select *, 1 as side from c union all select *, 2 from r) group by all),
-    s as (select pair_id, min({'turn': turn, 'role': role, 'text': text}) as split from t where in_c <> in_r group by pair_id),
-    p as (select t.*, s.split is null or {'turn': turn, 'role': role, 'text': text} < s.split as is_prompt
-          from t left join s using (pair_id)),
+    s as (select pair_id, min(turn) as split from t where in_c <> in_r group by pair_id),
+    p as (select t.*, s.split is null or turn < s.split as is_prompt from t left join s using (pair_id)),
     parts as (select pair_id, 'prompt' as part, turn, role, text from p where is_prompt
               union all select pair_id, 'chosen', turn, role, text from p where not is_prompt and in_c
-              union all select pair_id, 'rejected', turn, role, text from p where not is_prompt and in_r)
-    select pair_id, part, turn, role,
-        '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as rendered,
-        case when role = 'assistant' and part <> 'prompt' then 13 + length(role) else 0 end as trained_from,
-        case when role = 'assistant' and part <> 'prompt' then 13 + length(role) + length(text) + 10 else 0 end as trained_to
-    from parts"""
+              union all select pair_id, 'rejected', turn, role, text from p where not is_prompt and in_r),
+    shown as (select *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as rendered from parts),
+    placed as (select *, sum(length(rendered)) over (partition by pair_id, part order by turn, role, text)
+                   - length(rendered) + 13 + length(role) as start from shown),
+    whole as (select pair_id, part, string_agg(rendered, '' order by turn, role, text) as text,
+        string_agg(case when role = 'assistant' then cast(start as bigint) || ':' || cast(start + length(text) + 10 as bigint) end,
+                   ',' order by turn, role, text) as spans from placed group by pair_id, part)
+    select pair_id, cast(0 as bigint) as part,
+        coalesce(max(case when part = 'prompt' then text end), '') as prompt,
+        coalesce(max(case when part = 'chosen' then text end), '') as chosen,
+        coalesce(max(case when part = 'rejected' then text end), '') as rejected,
+        coalesce(max(case when part = 'chosen' then spans end), '') as chosen_spans,
+        coalesce(max(case when part = 'rejected' then spans end), '') as rejected_spans
+    from whole group by pair_id"""
 
 
 def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
