@@ -331,6 +331,15 @@ def q_deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.deleted_files(_files(spark, sf_dir), _snapshot(spark, sf_dir))
 
 
+def q_moved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which some stood elsewhere before; one with copies is not known to have moved."""
+    now = _files(spark, sf_dir).select("path", "doc_id", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
+    before = now.withColumn("path", F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("/old"), "path"))
+                            .otherwise(F.col("path")))
+    return ch.moved_files(now.join(before.select("path"), "path", "left_anti"),
+                          before.join(now.select("path"), "path", "left_anti"))
+
+
 def q_classify_changes(force: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.classify_changes(_files(spark, sf_dir), _snapshot(spark, sf_dir), force)
 
@@ -463,6 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_path_snippet": q_path_snippet,
         "q_changed_files": q_changed_files,
         "q_deleted_files": q_deleted_files,
+        "q_moved_files": q_moved_files,
         "q_classify_changes": partial(q_classify_changes, False),
         "q_force_refresh": partial(q_classify_changes, True),
         "q_refresh_summary": q_refresh_summary,
@@ -830,6 +840,9 @@ def oracle_sql() -> dict[str, str]:
             left join prev p using (path)
             where p.path is null or p.size <> f.size or p.mtime <> f.mtime""",
         "q_deleted_files": f"with {_PREV} select path from prev except select path from files",
+        "q_moved_files": f"""with {_FILES}, m as (
+            select md5(coalesce(content, '')) as digest, path from files where doc_id % 17 = 0)
+            select min(path) as path, '/old' || min(path) as moved_from from m group by digest having count(*) = 1""",
         "q_classify_changes": f"""with {_PREV} select coalesce(f.path, p.path) as path,
             case when p.path is null then 'added' when f.path is null then 'removed'
                  when f.size = p.size and f.mtime = p.mtime then 'unchanged' else 'updated' end as action

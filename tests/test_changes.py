@@ -17,6 +17,19 @@ def test_actions(spark):
     assert {r["path"] for r in ch.deleted_files(now, before).collect()} == {"gone"}
 
 
+def test_digests_and_moves(spark):
+    kind = SNAPSHOT + ", digest string"
+    now = spark.createDataFrame([("same", 1, 1.0, "a"), ("rewritten", 1, 1.0, "b"), ("to", 1, 2.0, "m"),
+                                 ("copy1", 1, 1.0, "c"), ("copy2", 1, 1.0, "c"), ("none", 1, 1.0, None)], kind)
+    before = spark.createDataFrame([("same", 1, 1.0, "a"), ("rewritten", 1, 1.0, "x"), ("from", 1, 1.0, "m"),
+                                    ("copy0", 1, 1.0, "c"), ("gone", 1, 1.0, None)], kind)
+    actions = dict(ch.classify_changes(now, before).collect())
+    assert actions["rewritten"] == "updated" and actions["same"] == "unchanged"
+    added, removed = (a.join(b.select("path"), "path", "left_anti") for a, b in ((now, before), (before, now)))
+    assert [tuple(r) for r in ch.moved_files(added, removed).collect()] == [("to", "from")]
+    assert ch.moved_files(added.limit(0), removed).count() == 0
+
+
 def test_views(spark):
     meta = spark.createDataFrame(
         [("a", 1, 1.0, 2.0, "utf-8", None), ("b", 1, 3.0, 2.0, None, "Failed to read file")],

@@ -153,3 +153,35 @@ def test_binary_file_reader(spark, source, tmp_path):
     report = refresh(spark, str(source), ix, reader="binaryFile", **OPTIONS)
     assert counters(report) == (True, 3, 3, 0, 0, 0)
     assert found(report.index, "development") == {"test2.md", "test3.txt"}
+
+
+def test_moved_file_keeps_its_postings(spark, source, tmp_path):
+    ix = str(tmp_path / "ix")
+    put(source, "copy1.txt", "Equal notes")
+    put(source, "copy2.txt", "Equal notes")
+    first = refresh(spark, str(source), ix, **OPTIONS)
+    ids = {os.path.basename(r["path"]): r["doc_id"] for r in first.index.documents().collect()}
+    os.rename(source / "test1.txt", source / "subdir" / "renamed.txt")
+    os.unlink(source / "copy1.txt")
+    os.rename(source / "copy2.txt", source / "copy3.txt")
+    put(source, "test2.md", "Java development guide, changed")
+    second = refresh(spark, str(source), ix)
+    assert counters(second) == (True, 3, 2, 1, 3, 0)  # a move counts as one added and one removed
+    index = second.index
+    after = {os.path.basename(r["path"]): (r["doc_id"], r["born"]) for r in index.files().collect()}
+    assert set(after) == {"renamed.txt", "test2.md", "test3.txt", "copy3.txt"}
+    assert after["renamed.txt"] == (ids["test1.txt"], 0)
+    assert after["copy3.txt"][1] == 1  # of two copies that went, neither is known to be the one that moved
+    assert found(index, "python") == {"renamed.txt"} and found(index, "equal") == {"copy3.txt"}
+    assert "renamed.txt" not in {os.path.basename(r["path"]) for r in index.postings().where("born = 1").join(
+        index.documents(), "doc_id").collect()}
+    assert (index.n_docs, index.total_len) == (4, 13)
+    assert {r["term"]: r["df"] for r in index.terms().where("term = 'python'").collect()} == {"python": 1}
+
+    os.rename(source / "subdir" / "renamed.txt", source / "again.txt")
+    third = refresh(spark, str(source), ix)
+    assert found(third.index, "python") == {"again.txt"}
+    os.unlink(source / "again.txt")
+    last = refresh(spark, str(source), ix)  # merges the segments as well
+    assert found(last.index, "python") == set() and (last.index.n_docs, last.index.total_len) == (3, 10)
+    assert last.index.terms().where("term = 'python' and df <> 0").count() == 0

@@ -11,17 +11,16 @@ def classify_changes(current: DataFrame, previous: DataFrame, force: bool = Fals
     """``path, action`` with action added, updated, unchanged or removed.
 
     Both inputs carry ``path, size, mtime``. One full outer join on the path;
-    any difference in size or mtime counts as a change, an older mtime too.
-    With ``force`` every file known before is updated.
+    any difference in size or mtime counts as a change, an older mtime too, and so does
+    one in ``digest`` if both carry it. With ``force`` every file known before is updated.
     """
-    now = current.select("path", F.col("size").alias("new_size"), F.col("mtime").alias("new_mtime"),
-                         F.lit(True).alias("is_now"))
-    before = previous.select("path", F.col("size").alias("old_size"),
-                             F.col("mtime").alias("old_mtime"), F.lit(True).alias("was_before"))
-    same = (F.col("new_size").eqNullSafe(F.col("old_size"))
-            & F.col("new_mtime").eqNullSafe(F.col("old_mtime")))
-    if force:
-        same = F.lit(False)
+    compared = [c for c in ("size", "mtime", "digest") if c in current.columns and c in previous.columns]
+    now = current.select("path", *[F.col(c).alias(f"new_{c}") for c in compared], F.lit(True).alias("is_now"))
+    before = previous.select("path", *[F.col(c).alias(f"old_{c}") for c in compared],
+                             F.lit(True).alias("was_before"))
+    same = F.lit(not force)
+    for c in compared:
+        same = same & F.col(f"new_{c}").eqNullSafe(F.col(f"old_{c}"))
     action = (F.when(F.col("was_before").isNull(), "added")
               .when(F.col("is_now").isNull(), "removed")
               .when(same, "unchanged").otherwise("updated"))
@@ -43,6 +42,23 @@ def deleted_files(current: DataFrame, previous: DataFrame) -> DataFrame:
     return previous.select("path").join(current.select("path"), "path", "left_anti")
 
 
+def moved_files(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """``path, moved_from`` of files whose content went from one path to another.
+
+    Both inputs carry ``path, digest``. A move is told where exactly one added and one
+    removed file have a content: which of several copies went where cannot be known, so
+    these stay added and removed, as do files without a digest. One aggregation by
+    digest, combined before its shuffle, so a content that many files have costs nothing.
+    """
+    nowhere = F.lit(None).cast("string")
+    sides = added.select("digest", "path", nowhere.alias("moved_from")).unionByName(
+        removed.select("digest", nowhere.alias("path"), F.col("path").alias("moved_from")))
+    return (sides.where("digest is not null").groupBy("digest")
+            .agg(F.count("path").alias("n_added"), F.count("moved_from").alias("n_removed"),
+                 F.min("path").alias("path"), F.min("moved_from").alias("moved_from"))
+            .where("n_added = 1 and n_removed = 1").select("path", "moved_from"))
+
+
 def latest_versions(feed: DataFrame, order: Column | None = None) -> DataFrame:
     """The last row of each path in a change feed; ties fall to a delete."""
     order = F.desc("mtime") if order is None else order

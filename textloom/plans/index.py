@@ -37,7 +37,7 @@ from pyspark.sql.types import (
 
 from ..functions.times import iso_time
 from ..operators import postings as ops
-from ..operators.changes import classify_changes
+from ..operators.changes import classify_changes, moved_files
 from ..operators.corpus import PostingsCorpus
 from ..operators.stats import index_stats
 from .commits import drop_commits, read_commit, try_commit
@@ -259,6 +259,26 @@ def _error_rows(changes: DataFrame, before: DataFrame, run_time: float, number:
         doc_bucket_of("path", buckets).alias("doc_bucket"))
 
 
+def _moves(changes: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, moved_from): new paths whose content is that of one path which the change deletes."""
+    digest = F.sha2("content", 256).alias("digest")
+    added = changes.where("status = 'ok'").join(before.select("path"), "path", "left_anti")
+    removed = before.where("new_status = 'deleted' and doc_id is not null")
+    return moved_files(added.select("path", digest), removed.select("path", digest))
+
+
+def _moved_rows(changes: DataFrame, before: DataFrame, moves: DataFrame, run_time: float, number: int,
+                buckets: int) -> DataFrame:
+    """A document that only moved keeps its number, and so its postings."""
+    old = before.select(F.col("path").alias("moved_from"), "doc_id", "born")
+    rows = changes.select("path", "size", "mtime", "encoding", "content", "last_modified").join(moves, "path")
+    return rows.join(old, "moved_from").select(
+        "doc_id", "path", F.col("size").cast("long").alias("size"), "mtime",
+        F.lit(float(run_time)).alias("last_indexed"), "encoding", F.lit(None).cast("string").alias("error"),
+        "content", "last_modified", "born", F.lit(number).alias("written"),
+        doc_bucket_of("path", buckets).alias("doc_bucket"))
+
+
 def _dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("max_tf"),
@@ -311,6 +331,15 @@ def _write_segment(index: Index, number: int, changes: DataFrame, run_time: floa
 
     files = _new_rows(changes, run_time, number, offsets, index.doc_buckets).unionByName(
         _error_rows(changes, before, run_time, number, index.doc_buckets))
+    n_moved = 0
+    if offsets is not None and index.segments and not before.where("new_status = 'deleted'").isEmpty():
+        moves = materialize(_moves(changes, before), "moves")
+        if n_moved := moves.count():
+            files = files.join(moves.select("path"), "path", "left_anti").unionByName(
+                _moved_rows(changes, before, moves, run_time, number, index.doc_buckets))
+            before = before.join(moves.select(F.col("moved_from").alias("path"), F.lit("moved").alias("now")),
+                                 "path", "left")
+            before = before.withColumn("new_status", F.coalesce("now", "new_status")).drop("now")
     written = _stored(spark, _write(files, location, "files", name, ["doc_id"]), "files")
     fresh = written.where(F.col("content").isNotNull() & (F.col("born") == number))
     postings = ops.build_postings(fresh, "doc_id", "content", index.stem, ("born",)).withColumn(
@@ -335,7 +364,7 @@ def _write_segment(index: Index, number: int, changes: DataFrame, run_time: floa
     n_files, n_new, n_docs, last_id = written.agg(
         F.count("*"), F.count_if(is_new), F.count_if(F.col("content").isNotNull() & is_new),
         F.coalesce(F.max("doc_id"), F.lit(-1))).first()
-    if n_ok is not None and n_new != n_ok:
+    if n_ok is not None and n_new + n_moved != n_ok:
         raise RuntimeError("the changes were read twice with different partitions: store them as a table first")
     rows = {"files": n_files, "postings": postings.count(), "terms": n_terms, "blocks": n_blocks, "gone": n_gone,
             "deletions": n_deletions}
@@ -379,7 +408,9 @@ def apply_changes(spark: SparkSession, location: str, changes: DataFrame, run_ti
     last_modified`` with one row per path, and ``doc_id`` if the caller numbers
     the documents. It is read more than once, so it should be a stored table.
     Status ``ok`` replaces a document, ``error`` records a failure, ``deleted``
-    removes the path, ``skipped`` changes nothing. Bucket counts and stemming are
+    removes the path, ``skipped`` changes nothing. Content that goes from one deleted path
+    to one new path moves: the document keeps its number and its postings, unless the
+    caller numbers documents. Bucket counts and stemming are
     fixed by the first change. Writers may run at the same time.
     """
     options = {"stem": stem, "doc_buckets": doc_buckets, "term_buckets": term_buckets}
