@@ -747,20 +747,17 @@ _SEARCH_STEMMED = f"""with {_porter_sql(_VOCABULARY)},
         from z, figures where f0 > 0 and f1 > 0)
     select doc_id, round(raw, 6) as score from (select * from r order by raw desc, doc_id limit 20)"""
 
-_SNIPPETS = rf"""{_SEARCH_STEMMED.replace('select doc_id, round(raw, 6)', ', best as (select doc_id, round(raw, 6)')}),
-    tx as (select doc_id, score, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') as toks,
-                  string_split_regex(text, '[\p{{L}}\p{{N}}]+') as gaps
-           from best join documents using (doc_id)),
-    tk as (select doc_id, len(toks) as n, gaps, unnest(toks) as tok, unnest(range(0, len(toks))) as pos from tx),
-    hits as (select doc_id, n, pos, stem from tk join stems on strip_accents(lower(tok)) = term
-             where stem in ('tion', 'with')),
+# The cut of each row of tx(doc_id, toks, gaps) around its wanted(doc_id, item, stem).
+_SHOWN = r"""tk as (select doc_id, len(toks) as n, gaps, unnest(toks) as tok, unnest(range(0, len(toks))) as pos from tx),
+    hits as (select doc_id, n, pos, item from tk join stems on strip_accents(lower(tok)) = term
+             join wanted using (doc_id, stem)),
     sent as (select doc_id, pos from tk where pos = 0 or regexp_matches(gaps[pos + 1], '[.:][ \t\n\r]+$')),
     cand as (select doc_id, n, pos as seq, 0 as sub, pos as p, 0 as bonus from hits
              union all
              select doc_id, n, seq, 1, p, case when p = 0 then 120 else 100 end from (
                  select h.doc_id, h.n, h.pos as seq, max(s.pos) as p from hits h join sent s
                  on s.doc_id = h.doc_id and s.pos <= h.pos where h.n > 32 group by all) where p < seq),
-    weighed as (select c.doc_id, c.n, seq, sub, p, bonus + 999 * count(distinct h.stem) + count(*) as weight,
+    weighed as (select c.doc_id, c.n, seq, sub, p, bonus + 999 * count(distinct h.item) + count(*) as weight,
                        min(h.pos) as head, max(h.pos) + 1 as tail
                 from cand c join hits h on h.doc_id = c.doc_id and h.pos between c.p and c.p + 31 group by c.doc_id, c.n, seq, sub, p, bonus),
     chosen as (select doc_id, case when sub = 1 then p else
@@ -771,8 +768,38 @@ _SNIPPETS = rf"""{_SEARCH_STEMMED.replace('select doc_id, round(raw, 6)', ', bes
                      then '<mark>' || tok || '</mark>' else tok end, '' order by pos) as body,
                   any_value(case when st > 0 then '...' else gaps[1] end) as head,
                   any_value(case when st + 31 >= n - 1 then gaps[n + 1] else '...' end) as tail
-              from tk join chosen using (doc_id) where pos between st and st + 31 group by tk.doc_id)
+              from tk join chosen using (doc_id) where pos between st and st + 31 group by tk.doc_id)"""
+_SPLIT_TEXT = r"""regexp_extract_all(text, '[\p{L}\p{N}]+') as toks, string_split_regex(text, '[\p{L}\p{N}]+') as gaps"""
+_SNIPPETS = f"""{_SEARCH_STEMMED.replace('select doc_id, round(raw, 6)', ', best as (select doc_id, round(raw, 6)')}),
+    tx as (select doc_id, score, {_SPLIT_TEXT} from best join documents using (doc_id)),
+    wanted as (select doc_id, stem as item, stem from best, (values ('tion'), ('with')) as v(stem)),
+    {_SHOWN}
     select doc_id, score, head || body || tail as snippet from tx join shown using (doc_id)"""
+# A result row of a query is named by both ids where the cut needs one name.
+_ALL_WORDS = f"""{_DOCS}, {_WORD_QUERIES}, terms as (
+    select unnest(t) as term from d union select unnest({_toks('query')}) from q)"""
+_BATCH_SNIPPETS = f"""with {_porter_sql(_ALL_WORDS)},
+    asked as (select query_id, unnest(t) as term, unnest(range(0, len(t))) as item
+          from (select query_id, {_toks('query')} as t from q)),
+    need as (select query_id, count(*) as m from asked group by query_id),
+    units as (select query_id, item, stem from asked join stems using (term)),
+    x as (select doc_id, len(t) as dl, unnest(t) as term from d),
+    found as (select doc_id, stem, dl, count(*) as tf from x join stems using (term)
+          where stem in (select stem from units) group by all),
+    dfs as (select stem, count(*) as df from found group by stem),
+    totals as (select count(*) as n, sum(len(t)) / count(*) as avgdl from d),
+    scored as (select query_id, doc_id, count(*) as m,
+            sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as raw
+          from units join found using (stem) join dfs using (stem), totals group by query_id, doc_id),
+    placed as (select query_id, doc_id as doc, raw, query_id || ':' || doc_id as doc_id,
+            row_number() over (partition by query_id order by round(raw, 12) desc, doc) as rank
+          from scored join need using (query_id, m)),
+    best as (select *, round(raw, 6) as score from placed where rank <= 3),
+    tx as (select best.*, {_SPLIT_TEXT} from best join documents on documents.doc_id = best.doc),
+    wanted as (select doc_id, item, stem from best join units using (query_id)),
+    {_SHOWN}
+    select query_id, cast(rank as integer) as rank, doc as doc_id, score, head || body || tail as snippet
+    from tx join shown using (doc_id)"""
 
 _CHANGED_DOCS = f"""{_FILES}, k as (select *, doc_id % 12 as kind, doc_id % 2 = 1 as odd from files)
     , stored as (
@@ -800,6 +827,7 @@ def oracle_sql() -> dict[str, str]:
         "q_search_stemmed": _SEARCH_STEMMED,
         "q_search_stemmed_documents": _SEARCH_STEMMED,
         "q_snippet_topk": _SNIPPETS,
+        "q_batch_snippets": _BATCH_SNIPPETS,
         "q_search_results": f"""select cast(doc_id as varchar) as path, snippet, score,
             '1970-01-01T00:00:00' as last_modified from ({_SNIPPETS})""",
         "q_stored_stats": """select count(*) as indexed_files, '1970-01-01T00:00:00' as last_scan,
