@@ -20,7 +20,7 @@ from textloom.operators.corpus import Corpus, DocumentCorpus
 from textloom.operators.pathsearch import search_by_path
 from textloom.operators.snippets import snippets_for_query, with_batch_snippets
 from textloom.plans.index import Index, apply_changes, build_index, open_index
-from textloom.plans.refresh import refresh
+from textloom.plans.refresh import refresh, refresh_file
 from textloom.plans.results import search_results
 from textloom.plans.workdir import materialize, new_path, ship_package
 from textloom.sources.files import filter_files, read_text, write_tree
@@ -425,11 +425,25 @@ def q_refresh_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_tree(_raw_files(spark, sf_dir), root)
     report = refresh(spark, root, new_path(spark, "index"),
                      include=(".txt", ".md", ".py", ".log", ".bin"), stem=False)
-    return report.index.files().select(
+    return _below(report.index, root)
+
+
+def _below(index: Index, root: str) -> DataFrame:
+    return index.files().select(
         F.substring("path", len(root) + 1, 1000).alias("path"), "size", "encoding", "error",
         F.length("content").alias("n_chars"))
 
 
+def q_refresh_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's text files indexed, then one file that the list of extensions leaves out."""
+    root, location = new_path(spark, "tree").removeprefix("file:"), new_path(spark, "index")
+    write_tree(_raw_files(spark, sf_dir), root)
+    refresh(spark, root, location, include=(".txt",), stem=False)
+    one = (_files(spark, sf_dir).where(F.col("path").endswith(".md") & (F.col("doc_id") % 8 == 0))
+           .agg(F.min_by("path", "doc_id")).first()[0])
+    return _below(refresh_file(spark, root, location, one.lstrip("/")).index, root)
+
+
 def q_indexed_files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.indexed_files(_metadata(spark, sf_dir), _stored_documents(spark, sf_dir))
 
@@ -483,6 +497,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_index_dictionary": q_index_dictionary,
         "q_stream_index": q_stream_index,
         "q_refresh_tree": q_refresh_tree,
+        "q_refresh_file": q_refresh_file,
         "q_indexed_files_view": q_indexed_files_view,
         "q_indexed_ok": lambda s, d: st.indexed_ok(_metadata(s, d)),
         "q_with_errors": lambda s, d: st.with_errors(_metadata(s, d)),
@@ -673,6 +688,12 @@ _RAW = f"""{_FILES}, raw as (
                 else 'utf-8' end as encoding from raw), outcome as (
     select *, case when not is_text then 'skipped' when doc_id % 16 = 10 then 'error'
                    else 'ok' end as status from typed)"""
+_READ = """select path, bytes as size,
+    case when status = 'ok' then encoding end as encoding,
+    case when status = 'error' then 'Failed to read file: not valid utf-8-sig' end as error,
+    case when status <> 'ok' then null when encoding = 'latin-1' then bytes
+         when kind = 5 then length(content) + 1 else length(content) end as n_chars
+    from outcome"""
 _OUTCOMES = f"""{_RAW}, {_PREV.split(', prev as')[1].join(['prev as', ''])}, acts as (
     select coalesce(f.path, p.path) as path, status,
            case when p.path is null then 'added' when f.path is null then 'removed'
@@ -908,12 +929,11 @@ def oracle_sql() -> dict[str, str]:
             select cast(conv_id as varchar) as path, md5(text) as digest,
             strftime(make_timestamp(turn * 1000000), '%Y-%m-%dT%H:%M:%S') as last_modified
             from last where turn % 5 <> 3""",
-        "q_refresh_tree": f"""with {_RAW} select path, bytes as size,
-            case when status = 'ok' then encoding end as encoding,
-            case when status = 'error' then 'Failed to read file: not valid utf-8-sig' end as error,
-            case when status <> 'ok' then null when encoding = 'latin-1' then bytes
-                 when kind = 5 then length(content) + 1 else length(content) end as n_chars
-            from outcome where status <> 'skipped'""",
+        "q_refresh_tree": f"""with {_RAW} {_READ}
+            where status <> 'skipped'""",
+        "q_refresh_file": f"""with {_RAW} {_READ}
+            where lower(ext) = '.txt' and status <> 'skipped' or doc_id = (
+                select min(doc_id) from outcome where ext = '.md' and kind = 0)""",
         "q_indexed_files_view": f"""with {_META} select m.*, s.last_modified from metadata m
             left join stored s using (path)""",
         "q_indexed_ok": f"with {_META} select path, size, encoding from metadata where error is null",
