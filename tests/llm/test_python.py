@@ -273,6 +273,21 @@ def test_links_in_front_of_a_common_passage(spark, region):
     assert all(c in (i, i - 1) for i, c in component.items())
 
 
+@pytest.mark.parametrize("few", [50, 1])
+def test_full_regions_lose_no_link_at_the_limit(spark, monkeypatch, few):
+    """Texts of a common passage, 0.752 alike in pairs, in regions that are full at four values, not at six."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    passage, rows = " ".join(f"p7x{i}" for i in range(302)), []
+    for i in range(200):
+        own = [f"u{i}x{k}" for k in range(54)]
+        own[-8:] = [f"s{i // 2}x{k}" for k in range(8)]
+        rows.append((i, f"{passage} {' '.join(own)}"))
+    sets = [set(neardup.shingler().hashes(t).tolist()) for _, t in rows[:3]]
+    assert 0.75 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.76 > 0.75 > len(sets[1] & sets[2]) / len(sets[1] | sets[2])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=80).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_one_row_of_each_group_stays(spark):
     """Repeated ids with other texts, and repeated rows."""
     words = [f"w{i}" for i in range(60)]

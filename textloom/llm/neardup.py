@@ -14,11 +14,13 @@ the components are known, if it lies in more than one. There each class brings t
 pairs that are links or, of larger sets, 4.2 standard deviations below the limit are
 handed on. All of them are confirmed too. No pair is left out for the size of its group.
 
-A long prefix misses pairs at the limit. So the classes of regions that are still full at
-``DEEP`` values are matched a second way, on what sets them apart: whatever else they
-share, links among them that a common passage alone does not make share a shingle that
-few have. Those of at most ``FEW`` classes are found by a count of all their shingles,
-and every pair that shares one and agrees in enough slots is confirmed as well.
+A longer prefix than the first misses pairs at the limit. So the classes of regions that are
+full at the first depth, the dense ones, are matched a second way that misses none for their
+number. Their shingles are ordered by how many dense classes have them, rarest first. Two
+sets as similar as the limit share one of the first ``size - 0.75 size + 1`` of each. Pairs
+that share one of at most ``FEW`` classes are compared at once. Those that only meet in a
+more frequent one are compared when the components are known, block by block and only across
+components, whatever the number of its classes.
 
 Defined cases: null or empty texts and texts of white space have an empty set and link
 with nothing; texts of fewer than ``WORDS`` words are one shingle; equal rows are one
@@ -47,8 +49,7 @@ SIMILARITY = (75, 100)
 SLOTS = 96
 TREES = 16
 DEPTHS = (2, 4, 6, 12, 24, 96)
-DEEP = 6             # up to as many values a pair at the limit meets in one of the trees by 0.95
-FEW = 50             # classes that share a shingle which sets them apart
+FEW = 50             # classes of a shingle that are compared before the components are known
 REGION = 1000
 NEAREST = 4          # partners that a class hands on before the components are known
 SKETCH = 512         # smallest hashes that a class brings when its region is seen again
@@ -140,7 +141,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def regions(classes: DataFrame, most: int = REGION) -> tuple[DataFrame, DataFrame | None]:
     """(region, class, size, low): each class once for each tree, by regions of ``most`` members;
-    and (class) of those in regions that are still full at ``DEEP`` values, None without any.
+    and the dense ones (class), those in regions full at the first depth, None without any.
 
     ``low`` is read from the tree's slot on, so that rows can be sorted by it. Only members of
     full regions go on to the next depth; the others are done.
@@ -152,24 +153,24 @@ def regions(classes: DataFrame, most: int = REGION) -> tuple[DataFrame, DataFram
     order = lambda depth: F.col("twice").substr(4 * start + 1, F.lit(4 * depth))
     region = lambda depth: F.xxhash64("tree", order(depth))
     columns = ["region", "class", "size", "low"]
-    done, deep = [], []
+    done, dense = [], None
     rows = rows.withColumn("region", region(DEPTHS[0]))
     for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None)):
         full = rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > most)
         full = materialize(full.withColumnRenamed("region", "full"), "full-regions")
         if full.isEmpty():
-            return _all(done + [rows.select(*columns)]), _all(deep).distinct() if deep else None
+            return _all(done + [rows.select(*columns)]), dense
         is_full = F.col("region") == F.col("full")
         done.append(rows.join(full, is_full, "left_anti").select(*columns))
         rows = rows.join(full, is_full)
         if deeper:
             rows = materialize(rows.drop("full", "members").withColumn("region", region(deeper)), "full-members")
-            if depth >= DEEP:
-                deep.append(rows.select("class"))
+            if dense is None:
+                dense = rows.select("class").distinct()
     # Equal in all slots: every tree parts them in another way, so that they stay connected.
     part = F.pmod(F.xxhash64("class", "tree"), F.ceil(F.col("members") / most))
     done.append(rows.withColumn("region", F.xxhash64("region", part)).select(*columns))
-    return _all(done), _all(deep).distinct()
+    return _all(done), dense
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -235,12 +236,14 @@ def _pairs_of_region(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, label
     Sets whose sizes differ by more than the limit can't be as similar as it.
     """
     out, left = [], False
-    linked = None if labels is None else may_link(sets, sizes)
+    linked = None if sets is None else may_link(sets, sizes)
     for i in range(1, len(ids)):
         small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
         near = SIMILARITY[1] * small >= SIMILARITY[0] * large
         if labels is not None:
-            near &= linked[i, :i] & (labels[:i] != labels[i])
+            near &= labels[:i] != labels[i]
+        if linked is not None:
+            near &= linked[i, :i]
         near = np.flatnonzero(near)
         if not len(near):
             continue
@@ -252,9 +255,12 @@ def _pairs_of_region(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, label
     return out, left
 
 
-def rare_pairs(texts: DataFrame, classes: DataFrame, few: int = FEW) -> DataFrame:
-    """(a, b) with a > b of classes that share a shingle of at most ``few`` of them and agree
-    in enough slots; ``texts`` is (class, text), ``classes`` has class, size and low."""
+def prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, size, shingle, n): of the shingles of each set, rarest first, those that a set as
+    similar as the limit can't all miss, and the number of sets that have them, from two on.
+
+    ``texts`` is (class, text), ``classes`` has class and size.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shingler()
@@ -274,14 +280,28 @@ def rare_pairs(texts: DataFrame, classes: DataFrame, few: int = FEW) -> DataFram
                     [pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], ["class", "shingle"])
 
     counts = texts.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # Most shingles are in one text only and lead to nothing.
-    shared = materialize(counts.where(F.col("n").between(2, few)).select("shingle"), "near-shared")
+    # Those of one set come first in it and lead to nothing.
+    shared = materialize(counts.where("n > 1"), "near-shared")
     held = texts.select("class", "text").mapInArrow(exploded, "class long, shingle long").join(shared, "shingle")
-    held = materialize(held.join(classes.select("class", "size", "low"), "class"), "near-rare")
-    a = held.withColumnsRenamed({"class": "a", "size": "a_size", "low": "a_low"})
-    b = held.withColumnsRenamed({"class": "b", "size": "b_size", "low": "b_low"})
+    ordered = held.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    least = F.ceil(F.col("size") * SIMILARITY[0] / SIMILARITY[1])
+    length = F.col("size") - least + 1 - (F.col("size") - F.size("held"))
+    first = F.slice("held", 1, F.greatest(length, F.lit(0)).cast("int"))
+    rows = ordered.join(classes.select("class", "size"), "class").select("class", "size", F.explode(first).alias("x"))
+    return rows.select("class", "size", "x.shingle", "x.n")
+
+
+def rare_pairs(prefix: DataFrame, classes: DataFrame, few: int = FEW) -> DataFrame:
+    """(a, b) with a > b of classes that share a shingle of ``prefix`` which at most ``few`` have,
+    and agree in enough slots; ``classes`` has class and low."""
+    held = prefix.where(F.col("n") <= few).select("shingle", "class", "size")
+    a = held.withColumnsRenamed({"class": "a", "size": "a_size"})
+    b = held.withColumnsRenamed({"class": "b", "size": "b_size"})
     small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     pairs = a.join(b, "shingle").where((F.col("a") > F.col("b")) & (SIMILARITY[1] * small >= SIMILARITY[0] * large))
+    pairs = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("low").alias(f"{side}_low")), side)
     least = least_agreement()
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +312,41 @@ def rare_pairs(texts: DataFrame, classes: DataFrame, few: int = FEW) -> DataFram
     return pairs.select("a", "b", "a_low", "b_low").mapInArrow(agreeing, "a long, b long")
 
 
-def candidates(members: DataFrame, labelled: bool = False) -> DataFrame:
-    """(a, b) with a > b; rows with b null name, in ``region``, a region that is to be seen again."""
+def across(prefix: DataFrame, classes: DataFrame, joined: DataFrame, few: int = FEW, most: int = REGION) -> DataFrame:
+    """(region, class, size, low, label): blocks of the classes of each shingle of ``prefix`` that more
+    than ``few`` have, so that any two of different components, ``joined``, are in one.
+
+    The largest component of a shingle meets the others only, not itself.
+    """
+    labels = joined.select(F.col("node").alias("l_class"), "label")
+    rows = prefix.where(F.col("n") > few).select("shingle", "class", "size").join(
+        labels, F.col("class") == F.col("l_class"), "left")
+    rows = materialize(rows.select("shingle", "class", "size", F.coalesce("label", "class").alias("label")), "near-common")
+    counts = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("n"))
+    mixed = mixed.where("n > major.n").select("shingle", "major", (F.col("n") - F.col("major.n")).alias("others"))
+    is_major = F.col("label") == F.col("major.label")
+    of_major, of_others = F.ceil(F.col("major.n") / most).cast("int"), F.ceil(F.col("others") / most).cast("int")
+    part = F.pmod(F.xxhash64("class"), F.when(is_major, of_major).otherwise(of_others)).cast("int")
+    rows = rows.join(mixed, "shingle").withColumn("part", part)
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda kind, x, y: F.xxhash64(F.lit(kind), "shingle", x, y)
+    here = F.col("part")
+    among = F.transform(numbers(of_others), lambda x: block("others", F.least(here, x), F.greatest(here, x)))
+    to_major = F.transform(numbers(of_major), lambda x: block("major", here, x))
+    from_major = F.transform(numbers(of_others), lambda x: block("major", x, here))
+    rows = rows.select("class", "size", "label", F.explode(
+        F.when(is_major, from_major).otherwise(F.concat(among, to_major))).alias("region"))
+    return rows.join(classes.select("class", "low"), "class").select("region", "class", "size", "low", "label")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b) with a > b; rows with b null name, in ``region``, a region that is to be seen again.
+
+    With a ``label`` only pairs of different ones, with a ``sketch`` only what can be a link by it.
+    """
     least = least_agreement()
+    further = [c for c in ("label", "sketch") if c in members.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -306,15 +358,15 @@ def candidates(members: DataFrame, labelled: bool = False) -> DataFrame:
             ids = np.array([h[0] for h in held], np.int64)
             sizes = np.array([h[1] for h in held], np.int64)
             bits = np.frombuffer(b"".join([h[2] for h in held]), np.uint8).reshape(len(held), -1)
-            labels = np.array([h[3] for h in held], np.int64) if labelled else None
-            sets = [np.frombuffer(h[4], "<u4") for h in held] if labelled else None
+            labels = np.array([h[3] for h in held], np.int64) if further else None
+            sets = [np.frombuffer(h[4], "<u4") for h in held] if "sketch" in further else None
             pairs, left = _pairs_of_region(ids, sizes, bits, labels, sets, least)
             rows = [(max(a, b), min(a, b), region) for a, b in pairs] + [(0, None, region)] * left
             return rows and pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "region"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4 + 2 * labelled)]
+            columns = [batch.column(k).to_pylist() for k in range(4 + len(further))]
             for r, *row in zip(*columns):
                 if r != region:
                     if found := flush():
@@ -324,7 +376,7 @@ def candidates(members: DataFrame, labelled: bool = False) -> DataFrame:
         if found := flush():
             yield found
 
-    members = members.select("region", "class", "size", "low", *["label", "sketch"][:2 * labelled])
+    members = members.select("region", "class", "size", "low", *further)
     return (members.repartition("region").sortWithinPartitions("region", "low")
             .mapInArrow(run, "a long, b long, region long"))
 
@@ -369,13 +421,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = materialize(owned.groupBy("class").agg(
         F.min(F.struct("id", "key")).alias("first"),
         F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("size").alias("size")), "near-classes")
-    members, deep = regions(classes, region)
+    members, dense = regions(classes, region)
     found = materialize(candidates(members), "near-candidates")
     # One text stands for a class: that of its first document.
     firsts = classes.select("class", "first", F.col("first.key").alias("key"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        ids = firsts.join(wanted, "class", "left_semi")
+        # Stored first, so that the join is planned by their real number: few move no texts.
+        ids = materialize(firsts.select("class", "key").join(wanted, "class", "left_semi"), "near-wanted")
         return (keyed.join(ids, F.col("text_key") == F.col("key")).select("class", "text")
                 .dropDuplicates(["class"]))
 
@@ -383,13 +436,26 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return texts_of(p.select(F.col("a").alias("class")).unionByName(p.select(F.col("b").alias("class"))))
 
     pairs = found.where("b is not null").select("a", "b")
-    if deep is not None:
-        held = materialize(texts_of(deep), "near-deep-texts")
-        rare = rare_pairs(held, classes)
-        pairs = pairs.unionByName(materialize(rare, "near-rare-pairs"))
+    if dense is not None:
+        held = materialize(texts_of(dense), "near-dense-texts")
+        prefix = materialize(prefixes(held, classes), "near-prefixes")
+        pairs = pairs.unionByName(materialize(rare_pairs(prefix, classes), "near-rare-pairs"))
     pairs = pairs.distinct()
     links = materialize(confirmed(pairs, texts(pairs)), "near-links")
     joined = components(links)
+
+    def further(labelled: DataFrame, links: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links and components with those of pairs of different labels."""
+        more = candidates(labelled).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialize(more, "near-candidates")
+        if more.isEmpty():
+            return links, joined
+        new = materialize(confirmed(more, texts(more)), "near-links")
+        if new.isEmpty():
+            return links, joined
+        links = links.unionByName(new)
+        return links, components(links)
+
     again = found.where("b is null").select("region").distinct()
     if not again.isEmpty():
         labels = joined.select(F.col("node").alias("l_class"), "label")
@@ -401,12 +467,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  .where("x <> y").select("region"))
         rest = rest.join(split, "region", "left_semi")
         rest = rest.join(materialize(sketches(texts_of(rest.select("class"))), "near-sketches"), "class")
-        more = candidates(rest, labelled=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialize(more, "near-candidates")
-        if not more.isEmpty():
-            further = materialize(confirmed(more, texts(more)), "near-links")
-            if not further.isEmpty():
-                joined = components(links.unionByName(further))
+        links, joined = further(rest, links, joined)
+    if dense is not None:
+        rest = materialize(across(prefix, classes, joined, most=region), "near-across")
+        links, joined = further(rest, links, joined)
     groups = joined.join(firsts, F.col("node") == F.col("class"))
     least = groups.groupBy("label").agg(F.min("first").alias("least"))
     named = materialize(groups.select("class", "label").join(least, "label").select("class", "least"), "near-components")
