@@ -2,9 +2,11 @@ import os
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import grouping
 from textloom.operators import search as se
 from textloom.operators.corpus import PostingsCorpus
 from textloom.plans import commits, index as ix
@@ -197,3 +199,25 @@ def test_prefix_goes_by_the_dictionary(skewed, monkeypatch):
     assert first == [tuple(r) for r in se.search_prefix(skewed.corpus(), "ra", k=20).collect()]
     plain = PostingsCorpus(skewed.postings(), skewed.n_docs, skewed.total_len)
     assert first == [tuple(r) for r in se.search_prefix(plain, "ra", k=20).collect()]
+
+
+def test_a_batch_is_grouped_in_parts_of_few_tokens():
+    tokens = [["a", "b", "a"], [], ["b"] * 9, ["c"], ["a", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array(range(5))], ["tokens", "doc_id"])
+    parts = list(grouping.slices(batch, 4))
+    assert [p.column("doc_id").to_pylist() for p in parts] == [[0, 1], [2], [3, 4]]
+    rows = [r for p in parts for r in grouping.group_tokens(p, False, True).to_pylist()]
+    whole = grouping.group_tokens(batch, False, True).to_pylist()
+    key = lambda r: (r["term"], r["doc_id"])
+    assert sorted(rows, key=key) == sorted(whole, key=key)
+    assert [r["term"] for r in whole] == ["a", "a", "b", "b", "c", "c"]
+
+
+def test_blocks_of_terms_with_few_documents_each_are_left_out(spark, tmp_path, monkeypatch):
+    """The bounds join moves no postings, whatever the size of the dictionary."""
+    monkeypatch.setattr(ix, "BLOCKED_DF", 2)
+    rows = [(i * 128 + j, f"all {'some' if i < 2 else 'other'}") for i in range(4) for j in range(6)]
+    index = ix.build_index(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "i"), stem=False)
+    blocked = {r["term"] for r in index.table("terms").where("blocked").collect()}
+    assert blocked == {"all"} and index.table("blocks").count() == 4
+    assert index.postings().where("tf <> size(positions) or born <> 0").isEmpty()
