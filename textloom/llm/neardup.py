@@ -55,6 +55,7 @@ NEAREST = 4          # partners that a class hands on before the components are
 SKETCH = 512         # smallest hashes that a class brings when its region is seen again
 DEVIATIONS = 4.2
 KEPT_WORDS = 400_000
+KEPT_HASHES = 1 << 21
 
 
 class Shingler:
@@ -388,16 +389,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, limit: tuple[int, int] = SIMIL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, last, q = shingler(), None, None
+        sets: dict[int, np.ndarray] = {}
+        kept = 0
         for batch in batches:
             us, vs = [], []
             for u, v, x, y in zip(*batch.columns):
                 # Rows of one b come together.
                 if v != last:
                     last, q = v, made.hashes(y.as_py())
-                p = made.hashes(x.as_py())
+                # The classes of a dense group are in many pairs.
+                if (p := sets.get(key := u.as_py())) is None:
+                    if kept > KEPT_HASHES:
+                        sets, kept = {}, 0
+                    p = sets[key] = made.hashes(x.as_py())
+                    kept += len(p)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if limit[1] * both >= limit[0] * (len(p) + len(q) - both):
-                    us.append(u.as_py())
+                    us.append(key)
                     vs.append(v.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
@@ -470,6 +478,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links, joined = further(rest, links, joined)
     if dense is not None:
         rest = materialize(across(prefix, classes, joined, most=region), "near-across")
+        least = materialize(sketches(held.join(rest.select("class"), "class", "left_semi")), "near-sketches")
+        rest = rest.join(least, "class")
         links, joined = further(rest, links, joined)
     groups = joined.join(firsts, F.col("node") == F.col("class"))
     least = groups.groupBy("label").agg(F.min("first").alias("least"))
