@@ -12,7 +12,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import bitpack, bpe, components, hamming, licenses, neardup, toxicity, vocab
+from textloom.llm import bitpack, bpe, columns, components, hamming, licenses, neardup, toxicity, vocab
 from textloom.llm.queries import VOCABULARY
 
 # ---------------------------------------------------------------- encoding
@@ -288,6 +288,38 @@ def test_full_regions_lose_no_link_at_the_limit(spark, monkeypatch, few):
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
 
 
+def test_rare_shingles_make_a_row_for_each_class_not_for_each_pair(spark):
+    """Forty classes with the same twenty rare shingles, and two of them with one more."""
+    rows = [(c, s) for c in range(40) for s in range(20)] + [(3, 20), (4, 20), (5, 21)]
+    prefix = spark.createDataFrame(rows, "class long, shingle long").withColumns(
+        {"size": F.lit(30).cast("long"), "n": F.lit(40).cast("long")})
+    classes = spark.range(40).select(F.col("id").alias("class"), F.lit(30).cast("long").alias("size"),
+                                     F.lit(bytearray(96)).alias("low"))
+    got = neardup.rare_regions(prefix, classes).collect()
+    assert sorted(r["class"] for r in got) == sorted([*range(40), 3, 4])
+    assert len({r["region"] for r in got}) == 2
+    assert neardup.rare_regions(prefix, classes, few=39).isEmpty()
+
+
+def test_rows_of_wanted_keys_are_marked_in_place(spark, monkeypatch):
+    """All wanted keys, few others, and the same plan without a shuffle of rows at any broadcast limit."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), "id")
+    spark.conf.set(limit, "-1")
+    try:
+        found = columns.marked(rows, rows.where("id % 10 = 0").select("key"))
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["marked"] for r in found.collect()}
+        monkeypatch.setattr(columns, "KEY_BITS", 16)
+        few = columns.marked(rows, rows.where("id % 10 = 0").select("key")).where("marked").count()
+        none = columns.marked(rows, rows.where("false").select("key")).where("marked").count()
+    finally:
+        spark.conf.set(limit, before)
+    assert len(got) == 20_000 and all(got[i] for i in range(0, 20_000, 10))
+    assert sum(got.values()) < 2_010 and 2_000 < few < 3_500 and none == 0
+
+
 def test_one_row_of_each_group_stays(spark):
     """Repeated ids with other texts, and repeated rows."""
     words = [f"w{i}" for i in range(60)]

@@ -18,7 +18,7 @@ A longer prefix than the first misses pairs at the limit. So the classes of regi
 full at the first depth, the dense ones, are matched a second way that misses none for their
 number. Their shingles are ordered by how many dense classes have them, rarest first. Two
 sets as similar as the limit share one of the first ``size - 0.75 size + 1`` of each. Pairs
-that share one of at most ``FEW`` classes are compared at once. Those that only meet in a
+that share one of at most ``FEW`` classes are a region of their own. Those that only meet in a
 more frequent one are compared when the components are known, block by block and only across
 components, whatever the number of its classes.
 
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.columns import as_text, row_key
+from textloom.llm.columns import as_text, marked, row_key
 from textloom.llm.components import components
 from textloom.plans.workdir import materialize, ship_package
 
@@ -292,25 +292,15 @@ def prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("class", "size", "x.shingle", "x.n")
 
 
-def rare_pairs(prefix: DataFrame, classes: DataFrame, few: int = FEW) -> DataFrame:
-    """(a, b) with a > b of classes that share a shingle of ``prefix`` which at most ``few`` have,
-    and agree in enough slots; ``classes`` has class and low."""
-    held = prefix.where(F.col("n") <= few).select("shingle", "class", "size")
-    a = held.withColumnsRenamed({"class": "a", "size": "a_size"})
-    b = held.withColumnsRenamed({"class": "b", "size": "b_size"})
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    pairs = a.join(b, "shingle").where((F.col("a") > F.col("b")) & (SIMILARITY[1] * small >= SIMILARITY[0] * large))
-    pairs = pairs.select("a", "b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("low").alias(f"{side}_low")), side)
-    least = least_agreement()
-
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+def rare_regions(prefix: DataFrame, classes: DataFrame, few: int = FEW) -> DataFrame:
+    """(region, class, size, low): the classes of each shingle of ``prefix`` that at most ``few`` have.
 
-    return pairs.select("a", "b", "a_low", "b_low").mapInArrow(agreeing, "a long, b long")
+    Shingles of one passage lead to the same classes, which are one region then.
+    """
+    held = prefix.where(F.col("n") <= few).groupBy("shingle").agg(F.sort_array(F.collect_list("class")).alias("held"))
+    lists = held.where(F.size("held") > 1).select("held").distinct()
+    rows = lists.select(F.xxhash64(F.lit("rare"), "held").alias("region"), F.explode("held").alias("class"))
+    return rows.join(classes.select("class", "size", "low"), "class").select("region", "class", "size", "low")
 
 
 def across(prefix: DataFrame, classes: DataFrame, joined: DataFrame, few: int = FEW, most: int = REGION) -> DataFrame:
@@ -421,7 +411,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of its group, and null for rows without words or id.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), as_text(text_col).alias("text"))
-    keyed = docs.select(row_key("doc_id", "text").alias("text_key"), "text")
+    keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
     signed = materialize(signatures(docs), "near-signatures")
     of_set = F.xxhash64("set_hash")
     owned = signed.where("id is not null and set_hash is not null").select(of_set.alias("class"), "id", "key", "sig",
@@ -430,25 +420,25 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min(F.struct("id", "key")).alias("first"),
         F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("size").alias("size")), "near-classes")
     members, dense = regions(classes, region)
-    found = materialize(candidates(members), "near-candidates")
     # One text stands for a class: that of its first document.
     firsts = classes.select("class", "first", F.col("first.key").alias("key"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        # Stored first, so that the join is planned by their real number: few move no texts.
+        # Texts of other classes don't move, however many are wanted.
         ids = materialize(firsts.select("class", "key").join(wanted, "class", "left_semi"), "near-wanted")
-        return (keyed.join(ids, F.col("text_key") == F.col("key")).select("class", "text")
+        few = marked(keyed, ids).where("marked").select(F.col("key").alias("text_key"), "text")
+        return (few.join(ids, F.col("text_key") == F.col("key")).select("class", "text")
                 .dropDuplicates(["class"]))
 
     def texts(p: DataFrame) -> DataFrame:
         return texts_of(p.select(F.col("a").alias("class")).unionByName(p.select(F.col("b").alias("class"))))
 
-    pairs = found.where("b is not null").select("a", "b")
     if dense is not None:
         held = materialize(texts_of(dense), "near-dense-texts")
         prefix = materialize(prefixes(held, classes), "near-prefixes")
-        pairs = pairs.unionByName(materialize(rare_pairs(prefix, classes), "near-rare-pairs"))
-    pairs = pairs.distinct()
+        members = members.unionByName(materialize(rare_regions(prefix, classes), "near-rare"))
+    found = materialize(candidates(members), "near-candidates")
+    pairs = found.where("b is not null").select("a", "b").distinct()
     links = materialize(confirmed(pairs, texts(pairs)), "near-links")
     joined = components(links)
 
@@ -467,7 +457,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = found.where("b is null").select("region").distinct()
     if not again.isEmpty():
         labels = joined.select(F.col("node").alias("l_class"), "label")
-        rest = materialize(members.join(again, "region", "left_semi")
+        seen = marked(members.withColumnRenamed("region", "key"), again.withColumnRenamed("region", "key"))
+        seen = seen.where("marked").drop("marked").withColumnRenamed("key", "region")
+        rest = materialize(seen.join(again, "region", "left_semi")
                            .join(labels, F.col("class") == F.col("l_class"), "left")
                            .select("region", "class", "size", "low", F.coalesce("label", "class").alias("label")),
                            "near-again")
@@ -510,10 +502,13 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialize(duplicate_groups(docs, id_col, text_col, region).where("component_key is not null")
                        .groupBy("key", "component_key").agg(F.count(F.lit(1)).alias("rows")), "near-rows")
-    gone = rows.where("key <> component_key").select(F.col("key").alias("n_key"))
-    repeated = rows.where("key = component_key and rows > 1").select(F.col("key").alias("n_key"))
+    # Of all others, which are most, no row moves.
+    touched = rows.where("key <> component_key or rows > 1").select("key", F.expr("key = component_key").alias("repeated"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
-    is_key = F.col("key") == F.col("n_key")
-    once = keyed.join(gone.unionByName(repeated), is_key, "left_anti").select("row")
-    least = keyed.join(repeated, is_key, "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
-    return once.unionByName(least).select("row.*")
+    found = marked(keyed, touched)
+    whole = found.where("not marked").select("row")
+    named = touched.withColumnRenamed("key", "n_key")
+    some = found.where("marked").join(named.hint("merge"), F.col("key") == F.col("n_key"), "left")
+    once = some.where("n_key is null").select("row")
+    least = some.where("repeated").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    return reduce(DataFrame.unionByName, [whole, once, least]).select("row.*")
