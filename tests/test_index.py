@@ -213,6 +213,24 @@ def test_a_batch_is_grouped_in_parts_of_few_tokens():
     assert [r["term"] for r in whole] == ["a", "a", "b", "b", "c", "c"]
 
 
+def test_a_batch_is_freed_before_the_next_one_is_read():
+    """And no group has more than 65,536 tokens, but for a longer document."""
+    alive, sizes = [], []
+
+    def batches():
+        for _ in range(3):
+            alive.append(pa.total_allocated_bytes())
+            tokens = pa.array([[f"w{i}" for i in range(40_000)]] * 4, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(range(4))], ["tokens", "doc_id"])
+            del tokens
+
+    for part in grouping.grouper(False, True)(batches()):
+        sizes.append(sum(part.column("tf").to_pylist()))
+        del part
+    assert sizes == [40_000] * 12
+    assert max(alive) - alive[0] < 100_000
+
+
 def test_blocks_of_terms_with_few_documents_each_are_left_out(spark, tmp_path, monkeypatch):
     """The bounds join moves no postings, whatever the size of the dictionary."""
     monkeypatch.setattr(ix, "BLOCKED_DF", 2)
