@@ -226,11 +226,11 @@ def write_tree(files: DataFrame, root: str) -> int:
     """Write ``path, content`` rows as files below a folder all executors share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                target = os.path.join(root, path.lstrip("/"))
+            for path, content in zip(*batch.columns):  # one at a time, as contents are large
+                target = os.path.join(root, path.as_py().lstrip("/"))
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 with open(target, "wb") as handle:
-                    handle.write(content)
+                    handle.write(content.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
     os.makedirs(root, exist_ok=True)
