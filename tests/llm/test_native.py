@@ -67,6 +67,28 @@ def test_mixing_one_source_at_its_cap(spark):
     assert plan["y"] == 6.0 and plan["x"] == pytest.approx(39.0)
 
 
+def test_mixing_sums_are_few_files(spark, monkeypatch):
+    """The sums of a source are one file, however many tasks sum."""
+    files, write = {}, mixing.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        files[name] = sum(f.endswith(".parquet") for f in table.inputFiles())
+        return table
+
+    monkeypatch.setattr(mixing, "materialize", counted)
+    docs = spark.createDataFrame([(i, f"word {i}", "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("30", "false")):
+            spark.conf.set(k, v)
+        mixing.plan_mix(docs)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert files["mix-parts"] <= 3
+
+
 def test_mixing_empty(empty):
     assert mixing.mixed(empty, mixing.plan_mix(empty)).count() == 0
 

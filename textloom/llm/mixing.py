@@ -76,10 +76,11 @@ def plan_mix(docs: DataFrame, weigh=cycled_weights, share: float = 1.5, max_epoc
     ``weigh`` adds ``weight`` to rows of (source, source_size). The fractional
     repetition takes buckets in order until the sum is nearest to what is missing.
     """
-    parts = materialize(
-        docs.select(F.col(source_col).alias("source"), bucket_of(seed, id_col, text_col).alias("bucket"),
-                    size_of(text_col).alias("size"))
-        .groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-parts")
+    sums = (docs.select(F.col(source_col).alias("source"), bucket_of(seed, id_col, text_col).alias("bucket"),
+                        size_of(text_col).alias("size"))
+            .groupBy("source", "bucket").agg(F.sum("size").alias("size")))
+    # A source has 4,096 rows at most: one file, not one of each task that sums.
+    parts = materialize(sums.repartition("source"), "mix-parts")
     sources = parts.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(water_fill(weigh(sources), share, max_epochs), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
