@@ -1,5 +1,6 @@
 """Operators that use Python, against brute force, the tokenizers library and held-out labels."""
 
+import collections
 import hashlib
 import random
 import re
@@ -331,6 +332,29 @@ def test_one_row_of_each_group_stays(spark):
                                                       (None, a, 8), (None, a, 9)]))
 
 
+@pytest.mark.parametrize("block_bytes", [1, 20_000, 1 << 30])
+def test_prefixes(spark, monkeypatch, block_bytes):
+    """What the texts of a group share moves once a block; the prefixes are those of all rows."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    texts = [(i, " ".join(base[:rng.randrange(30, 60)] + [f"x{rng.randrange(90)}" for _ in range(rng.randrange(8))]))
+             for i in range(200)] + [(-5, "of its own only, it shares no shingle"), (1 << 40, "a short one")]
+    sets = {c: neardup.shingler().hashes(t).view(np.int64).tolist() for c, t in texts}
+    n = collections.Counter(x for s in sets.values() for x in s)
+    want = {}
+    for c, held in sets.items():
+        order = sorted((n[x], x) for x in held)[:len(held) - -(-len(held) * 75 // 100) + 1]
+        want |= {(c, len(held), x, k): 1 for k, x in order if k > 1}
+    tables, write = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: tables.setdefault(name, write(df, name)))
+    got = neardup.prefixes(spark.createDataFrame(texts, "class long, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == want
+    moved = tables["near-held"].count()
+    assert moved <= len(n) if block_bytes == 1 << 30 else moved <= len(n) * (sum(len(t) for _, t in texts) // block_bytes + 1)
+    assert moved <= sum(map(len, sets.values())) // (1 if block_bytes == 1 else 3)
+
+
 @pytest.mark.parametrize("size", [40, neardup.SKETCH, 3 * neardup.SKETCH])
 def test_sketches_lose_no_link(size):
     draw = np.random.default_rng(size)

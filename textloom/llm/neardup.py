@@ -52,6 +52,7 @@ DEPTHS = (2, 4, 6, 12, 24, 96)
 FEW = 50             # classes of a shingle that are compared before the components are known
 REGION = 1000
 NEAREST = 4          # partners that a class hands on before the components are known
+BLOCK_BYTES = 1 << 19  # of texts whose shingles are counted together
 SKETCH = 512         # smallest hashes that a class brings when its region is seen again
 DEVIATIONS = 4.2
 KEPT_WORDS = 400_000
@@ -256,40 +257,53 @@ def _pairs_of_region(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, label
     return out, left
 
 
-def prefixes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def held_shingles(blocks: DataFrame) -> DataFrame:
+    """(block, shingle, n): each shingle of the texts of each ``block`` once, and how many of them have it."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        made = shingler()
+        found = [made.hashes(t.as_py()) for t in rows["text"]]
+        values, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.table({"block": np.full(len(values), key[0].as_py(), np.int64),
+                         "shingle": values.view(np.int64), "n": n})
+
+    return blocks.groupBy("block").applyInArrow(run, "block long, shingle long, n long")
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
     """(class, size, shingle, n): of the shingles of each set, rarest first, those that a set as
     similar as the limit can't all miss, and the number of sets that have them, from two on.
 
-    ``texts`` is (class, text), ``classes`` has class and size.
+    ``texts`` is (class, text). Texts are dealt into blocks of about ``BLOCK_BYTES``, and only the
+    distinct shingles of a block move: what the texts of a dense group share moves once a block.
     """
+    least = lambda size: -(-size * SIMILARITY[0] // SIMILARITY[1])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         made = shingler()
-        for batch in batches:
-            found = [made.hashes(t.as_py()) for t in batch.column(0)]
-            values, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["shingle", "n"])
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shingler()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = [made.hashes(t.as_py()) for t in part.column(1)]
-                owner = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), pa.array(np.concatenate(found).view(np.int64))], ["class", "shingle"])
-
-    counts = texts.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # Those of one set come first in it and lead to nothing.
-    shared = materialize(counts.where("n > 1"), "near-shared")
-    held = texts.select("class", "text").mapInArrow(exploded, "class long, shingle long").join(shared, "shingle")
-    ordered = held.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
-    least = F.ceil(F.col("size") * SIMILARITY[0] / SIMILARITY[1])
-    length = F.col("size") - least + 1 - (F.col("size") - F.size("held"))
-    first = F.slice("held", 1, F.greatest(length, F.lit(0)).cast("int"))
-    rows = ordered.join(classes.select("class", "size"), "class").select("class", "size", F.explode(first).alias("x"))
-    return rows.select("class", "size", "x.shingle", "x.n")
+        shared, n = counts["shingle"].to_numpy(), counts["n"].to_numpy()
+        order = np.argsort(shared)
+        shared, n = shared[order], n[order]
+        out = []
+        for c, text in zip(rows["class"].to_pylist(), rows["text"]):
+            held = made.hashes(text.as_py()).view(np.int64)
+            size = len(held)
+            at = np.searchsorted(shared, held)
+            at = at[shared.take(at, mode="clip") == held] if len(shared) else at[:0]
+            # Those of one set come first in it and lead to nothing.
+            length = size - least(size) + 1 - (size - len(at))
+            first = at[np.lexsort((shared[at], n[at]))][:max(length, 0)]
+            out.append((np.full(len(first), c), np.full(len(first), size), shared[first], n[first]))
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*out)] or [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(["class", "size", "shingle", "n"], columns)))
+
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = texts.select(F.pmod("class", F.lit(total // BLOCK_BYTES + 1)).alias("block"), "class", "text")
+    held = materialize(held_shingles(blocks), "near-held")
+    shared = held.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = held.select("block", "shingle").join(shared, "shingle").select("block", "shingle", "n")
+    return (blocks.groupBy("block").cogroup(counts.groupBy("block"))
+            .applyInArrow(run, "class long, size long, shingle long, n long"))
 
 
 def rare_regions(prefix: DataFrame, classes: DataFrame, few: int = FEW) -> DataFrame:
@@ -435,7 +449,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     if dense is not None:
         held = materialize(texts_of(dense), "near-dense-texts")
-        prefix = materialize(prefixes(held, classes), "near-prefixes")
+        prefix = materialize(prefixes(held), "near-prefixes")
         members = members.unionByName(materialize(rare_regions(prefix, classes), "near-rare"))
     found = materialize(candidates(members), "near-candidates")
     pairs = found.where("b is not null").select("a", "b").distinct()
